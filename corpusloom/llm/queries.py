@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, line_dedup
-from corpusloom.llm.common import table
+from corpusloom.llm import bpe, decontaminate, language_id, line_dedup, media, pii
+from corpusloom.llm.common import id_remainder, table
 
 #: SQL for the stripped and lower-cased form of a line.
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,6 +31,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_remainder(docs["doc_id"], 5) == 0, F.lit(False))
+    model = language_id.fit(docs, ~held_out)
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", F.coalesce(id_remainder(out["doc_id"], 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"), masked=False).drop("masked")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_columns(table(spark, sf_dir, "documents"), media=False)
+    feature = F.array_join(F.transform(F.arrays_zip("fp_times", "fp_codes"), lambda p: F.concat_ws(":", p["fp_times"], F.lower(F.hex(p["fp_codes"])))), ",")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_bpe(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
     return out.select("doc_id", "n_tokens", F.sha2(F.col("token_ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
@@ -38,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_pii": op5_pii,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_media": op7_media,
     "op10_bpe": op10_bpe,
 }
 
