@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, language_id, line_dedup, media, pii
+from corpusloom.llm import bpe, decontaminate, hilbert_shards, language_id, line_dedup, media, pii
 from corpusloom.llm.common import id_remainder, table
 
 #: SQL for the stripped and lower-cased form of a line.
@@ -54,6 +54,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_bpe(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
     return out.select("doc_id", "n_tokens", F.sha2(F.col("token_ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_media": op7_media,
+    "op8_hilbert_shards": op8_hilbert_shards,
     "op10_bpe": op10_bpe,
 }
 
