@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, hilbert_shards, language_id, line_dedup, media, near_dedup, pii
+from corpusloom.llm import bpe, decontaminate, hilbert_shards, language_id, line_dedup, lm_score, media, near_dedup, pii
 from corpusloom.llm.common import id_remainder, table
 
 #: SQL for the stripped and lower-cased form of a line.
@@ -80,6 +80,12 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = id_remainder(docs["doc_id"], 10)
+    return lm_score.score_documents(docs, F.coalesce(rest != 0, F.lit(False)), F.coalesce(rest == 0, F.lit(False)))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_bpe(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
     return out.select("doc_id", "n_tokens", F.sha2(F.col("token_ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_media": op7_media,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_lm_score": op9_lm_score,
     "op10_bpe": op10_bpe,
 }
 
