@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import as_bytes, batches, sha256_hex, two
+from corpusloom.llm.common import as_bytes, batches, two
 
 #: Bytes that separate words become blanks, A-Z become a-z.
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -252,15 +252,30 @@ def _scan(shared: list, limit: int):
     return run
 
 
+def shared_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
+    """The stated items as broadcast blocks, each of a bounded number of distinct words."""
+    stated = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[item_text_col].alias("t")).where("t is not null")
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(b) for b in make_blocks([("null" if r.i is None else r.i, r.t.encode()) for r in stated.toLocalIterator()], window)]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, shard_words: int = 1_000_000) -> DataFrame:
     """Per document: id, n_words, n_hit, items (sorted strings) and hit_spans (word offsets: start, end, start, ...)."""
-    sc = docs.sparkSession.sparkContext
-    stated = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[item_text_col].alias("t")).where("t is not null")
-    blocks = make_blocks([("null" if r.i is None else r.i, r.t.encode()) for r in stated.toLocalIterator()], window)
+    blocks = shared_blocks(benchmark, item_col, item_text_col, window)
     src = two(docs, id_col, text_col)
-    out = src.select(src["_id"].cast("long").alias("_id"), "_text").mapInArrow(_scan([sc.broadcast(b) for b in blocks], shard_words), "_id long, n_words long, n_hit long, items array<string>, hit_spans array<long>")
+    out = src.select(src["_id"].cast("long").alias("_id"), "_text").mapInArrow(_scan(blocks, shard_words), "_id long, n_words long, n_hit long, items array<string>, hit_spans array<long>")
     return out.withColumnRenamed("_id", id_col)
 
 
-def items_digest(items: list[str]) -> str:
-    return sha256_hex(",".join(items).encode())
+def filter_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, shard_words: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without a word in an occurrence of a window."""
+    blocks = shared_blocks(benchmark, item_col, item_text_col, window)
+    at, scan = docs.columns.index(text_col), _scan(blocks, shard_words)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            places = pa.array(range(batch.num_rows), pa.int64())
+            clean = [n for found in scan(iter([pa.RecordBatch.from_arrays([places, batch.column(at)], ["_id", "_text"])])) for n, hit in zip(found.column(0).to_pylist(), found.column(2).to_pylist(), strict=True) if not hit]
+            yield batch.take(pa.array(clean, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

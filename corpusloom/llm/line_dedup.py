@@ -133,19 +133,25 @@ def _suspects(min_chars: int, log2_bits: int, packed):
     return run
 
 
+def cut_text(text: bytes, drops: list[bytes] | None, min_chars: int) -> tuple[int, str, int]:
+    """Lines of a text, what stays when the lines of these hashes go, and how many went."""
+    lines = text.split(b"\n")
+    if not drops:
+        return len(lines), text.decode(), 0
+    gone, kept = set(drops), []
+    for line in lines:
+        key = line_keys(line, min_chars)
+        if key is None or xxhash.xxh3_128_digest(key) not in gone:
+            kept.append(line)
+    return len(lines), b"\n".join(kept).decode(), len(lines) - len(kept)
+
+
 def _cut(min_chars: int):
     schema = pa.schema([("_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
 
     def one(i, text: bytes, drops: list[bytes] | None) -> tuple:
-        lines = text.split(b"\n")
-        if not drops:
-            return i, len(lines), 0, text.decode()
-        gone, kept = set(drops), []
-        for line in lines:
-            key = line_keys(line, min_chars)
-            if key is None or xxhash.xxh3_128_digest(key) not in gone:
-                kept.append(line)
-        return i, len(lines), len(lines) - len(kept), b"\n".join(kept).decode()
+        n, kept, dropped = cut_text(text, drops, min_chars)
+        return i, n, dropped, kept
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -154,16 +160,44 @@ def _cut(min_chars: int):
     return run
 
 
+def _with_drops(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, log2_bits: int) -> DataFrame:
+    """``docs`` with the column _drops: hashes of the lines that go from a row, or null."""
+    src = two(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
+    packed = docs.sparkSession.sparkContext.broadcast(_twice_filter(src, min_chars, log2_bits))
+    suspects = materialize(src.mapInArrow(_suspects(min_chars, log2_bits, packed), "_id long, _hash binary"), "line-suspects")
+    chosen = suspects.groupBy("_hash").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
+    drops = suspects.join(chosen, "_hash").where(~F.col("_id").eqNullSafe(F.col("_keeper"))).groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_hash").alias("_drops"))
+    return docs.join(drops, docs[id_col].cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, log2_bits: int = 27) -> DataFrame:
     """Per row of ``docs``: id, n_lines, n_dropped and the kept text.
 
     Lines whose key has ``min_chars`` code points and occurs in ``min_docs`` documents go, except in the
     largest id holding them.
     """
-    src = two(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    packed = docs.sparkSession.sparkContext.broadcast(_twice_filter(src, min_chars, log2_bits))
-    suspects = materialize(src.mapInArrow(_suspects(min_chars, log2_bits, packed), "_id long, _hash binary"), "line-suspects")
-    chosen = suspects.groupBy("_hash").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
-    drops = suspects.join(chosen, "_hash").where(~F.col("_id").eqNullSafe(F.col("_keeper"))).groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_hash").alias("_drops"))
-    joined = src.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")), "left").select("_id", "_text", "_drops")
-    return joined.mapInArrow(_cut(min_chars), "_id long, n_lines long, n_dropped long, kept string").withColumnRenamed("_id", id_col)
+    joined = _with_drops(two(docs, id_col, text_col), "_id", "_text", min_chars, min_docs, log2_bits)
+    return joined.select(F.col("_id").cast("long"), "_text", "_drops").mapInArrow(_cut(min_chars), "_id long, n_lines long, n_dropped long, kept string").withColumnRenamed("_id", id_col)
+
+
+def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", *, min_chars: int = 40, min_docs: int = 5, log2_bits: int = 27) -> DataFrame:
+    """``docs`` with the kept text in place of the text, and its length in ``chars_col`` where there is one.
+
+    Rows that lose no line stay as they are, null texts included.
+    """
+    joined = _with_drops(docs, id_col, text_col, min_chars, min_docs, log2_bits)
+    at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                columns, texts = part.columns[:-1], part.column(at).to_pylist()
+                kept = [cut_text(t.encode(), d, min_chars)[1] if d else t for t, d in zip(texts, part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                columns[at] = pa.array(kept, columns[at].type)
+                if chars is not None:
+                    was = columns[chars].to_pylist()
+                    columns[chars] = pa.array([w if k is t else len(k) for w, k, t in zip(was, kept, texts, strict=True)], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    return joined.select(*docs.columns, "_drops").mapInArrow(run, docs.schema)

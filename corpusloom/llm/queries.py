@@ -7,13 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, hilbert_shards, language_id, line_dedup, lm_score, media, near_dedup, pii
+from corpusloom.llm import bpe, decontaminate, hilbert_shards, language_id, line_dedup, lm_score, media, near_dedup, pii, warc
 from corpusloom.llm.common import id_remainder, table
 
 #: SQL for the stripped and lower-cased form of a line.
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "url_key", "kind", "outcome", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.col("status").cast("long").alias("status"), F.sha2(warc.header_lines(F.col("headers")), 256).alias("headers_sha256"), "payload_digest")
+
+
+OP1_SQL = """
+WITH pages2 AS (SELECT page_id AS p, url, coalesce(html, '') AS html, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || (page_id // 1440) AS dated FROM pages),
+records AS (
+  SELECT p * 2 AS record_id, url, p * 60 AS ts, 'response' AS kind, 200 AS status, tag AS etag, dated AS last_modified, strlen(html) AS size, tag, p, sha256(html) AS digest FROM pages2
+  UNION ALL
+  SELECT p * 2 + 1, url || '#again', (p + 500) * 60, 'revisit', 304, CASE WHEN p % 10 = 3 THEN 'W/"other"' WHEN p % 10 IN (7, 9) THEN NULL ELSE 'W/' || tag END,
+         CASE WHEN p % 10 = 9 THEN NULL ELSE dated END, 0, tag, p, NULL FROM pages2),
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM records),
+parts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*', 0)), '^www[.]', ''), ':(80|443)$', '') AS host,
+          regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+          list_sort(list_filter(string_split(regexp_extract(b, '^[^?]*[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)'))) AS q FROM bare),
+keyed AS (SELECT *, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM parts),
+paired AS (
+  SELECT r.*, f.record_id AS was_id, f.tag AS was_tag, f.last_modified AS was_date, f.size AS was_size, f.digest AS was_digest,
+         row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS nth
+  FROM keyed r LEFT JOIN keyed f ON r.kind = 'revisit' AND f.kind = 'response' AND f.url_key = r.url_key AND f.ts < r.ts),
+judged AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN was_id IS NULL THEN 'orphan'
+           WHEN coalesce(regexp_replace(etag, '^W/', '') = was_tag, last_modified = was_date) IS NULL THEN 'unverified'
+           WHEN coalesce(regexp_replace(etag, '^W/', '') = was_tag, last_modified = was_date) THEN 'resolved' ELSE 'mismatch' END AS outcome FROM paired WHERE nth = 1)
+SELECT record_id, url_key, kind, outcome, CASE outcome WHEN 'full' THEN record_id WHEN 'resolved' THEN was_id ELSE -1 END AS source_id,
+       CASE WHEN outcome = 'resolved' THEN 200 ELSE status END::BIGINT AS status,
+       sha256(CASE WHEN outcome = 'full' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || tag
+                   WHEN outcome = 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || was_size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || was_tag
+                   ELSE 'cache-control: max-age=120' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts END) AS headers_sha256,
+       CASE outcome WHEN 'full' THEN digest WHEN 'resolved' THEN was_digest END AS payload_digest
+FROM judged
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -92,6 +126,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_language_id": op4_language_id,
@@ -103,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_near_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_near_dedup": OP3_SQL}
