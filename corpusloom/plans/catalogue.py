@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.plans import catalogue_graph, catalogue_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalogue_text.QUERIES, **catalogue_graph.QUERIES}
+ORACLES: dict[str, str] = {**catalogue_text.ORACLES, **catalogue_graph.ORACLES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, cleaned and stripped of template lines, as what is embedded for each note."""
+    return QUERIES["processed_notes"](spark, sf_dir)
