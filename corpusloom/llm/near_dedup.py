@@ -8,9 +8,10 @@ on their full shingle sets.  At similarity 0.75 a link escapes all bands with pr
 estimate, cut 5.5 standard deviations below the threshold, with about 2e-8.
 
 Texts of one shingle set are one class, found by a 128-bit digest, and only its smallest id is compared.
-Buckets are never gathered.  First every member is tried against the smallest members of its buckets, by the
-best estimate.  After the components of these links, only pairs of a bucket in different components matter:
-all of those are tried, outside members against the bucket's largest component, best estimates first.
+Buckets are never gathered.  First every member is tried against the likeliest of its buckets' leaders.  After
+the components of these links, only pairs of a bucket in different components matter.  Members outside their
+bucket's largest component are tried against other leaders of it, a few times; then all pairs that are left
+are tried: outside members against all others, sifted by a longer signature, best estimates first.
 
 Defined cases.  Null and empty texts and texts without words have an empty set and are linked with nothing.
 Fewer than five words: the whole sequence is the one shingle.  Rows that share a doc_id are one document,
@@ -38,6 +39,11 @@ BANDS = HASHES // ROWS
 #: Fixed multipliers of the word positions and of the hash functions.
 _PLACES = seeded64(SHINGLE, 1) | np.uint64(1)
 _FACTORS = (seeded64(HASHES, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: A longer signature, made only of texts in pairs that the short one leaves open.
+WIDE = 1024
+_WIDE_FACTORS = (seeded64(WIDE, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Turns of single tries before the exhaustive one.
+STAR_ROUNDS = 3
 _BAND_PLACES = seeded64(ROWS, 3) | np.uint64(1)
 _BAND_SALTS = seeded64(BANDS, 4)
 PACKED = [f"s{k}" for k in range(HASHES * LOW_BITS // 64)]
@@ -59,12 +65,12 @@ def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
         return np.unique(mix64(total))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """HASHES minima of multiplied 32-bit hashes."""
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def minima(found: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
+    """One minimum of the 32-bit hashes for each factor they are multiplied by."""
+    low = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     short = found.astype(np.uint32)
     for at in range(0, len(short), 2048):
-        low = np.minimum(low, (_FACTORS[:, None] * short[at : at + 2048][None, :]).min(axis=1))
+        low = np.minimum(low, (factors[:, None] * short[at : at + 2048][None, :]).min(axis=1))
     return low
 
 
@@ -110,10 +116,10 @@ def matches(a: str, b: str) -> Column:
     return total
 
 
-def least_matches(percent: int, deviations: float = 5.5) -> int:
+def least_matches(percent: int, deviations: float = 5.5, size: int = HASHES) -> int:
     """The cut for matches: chance collisions included, so many standard deviations below the threshold's mean."""
     p = 2.0**-LOW_BITS + (1 - 2.0**-LOW_BITS) * percent / 100
-    return max(0, floor(HASHES * p - deviations * sqrt(HASHES * p * (1 - p))))
+    return max(0, floor(size * p - deviations * sqrt(size * p * (1 - p))))
 
 
 def estimate(equal: Column) -> Column:
@@ -155,13 +161,73 @@ def _verify(percent: int):
 
 def confirm(pairs: DataFrame, src: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold on their full shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_want")).distinct()
-    texts = materialize(src.join(ids, src["_id"] == ids["_want"], "left_semi"), "pair-texts")
+    texts = materialize(_texts(src, pairs), "pair-texts")
     one, other = (texts.select(F.col("_id").alias(f"_{k}"), F.col("_text").alias(f"_text_{k}")) for k in "ab")
     joined = pairs.join(one, pairs["a"] == one["_a"]).join(other, pairs["b"] == other["_b"])
     return materialize(joined.select("a", "b", "_text_a", "_text_b").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
+def _texts(src: DataFrame, pairs: DataFrame) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_want")).distinct()
+    return src.join(ids, src["_id"] == ids["_want"], "left_semi")
+
+
+def _widen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("_id", pa.int64()), ("wide", pa.binary())])
+    hashes = WordHashes()
+    for batch in it:
+        yield from batches(((i, pack(minima(shingles(text, hashes), _WIDE_FACTORS)).tobytes()) for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)), schema, 2048)
+
+
+def _compare(least: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(batch.num_rows, LOW_BITS, -1) for c in batch.columns[2:])
+            equal = WIDE - np.bitwise_count(np.bitwise_or.reduce(x ^ y, axis=1)).sum(axis=1).astype(np.int32)
+            keep = np.flatnonzero(equal >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(equal[keep])], schema=schema)
+
+    return run
+
+
+def sharpen(pairs: DataFrame, src: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that a signature of WIDE positions still finds likely, with its matches as m."""
+    wide = materialize(_texts(src, pairs).select("_id", "_text").mapInArrow(_widen, "_id long, wide binary"), "wide")
+    one, other = (wide.select(F.col("_id").alias(f"_{k}"), F.col("wide").alias(f"_w{k}")) for k in "ab")
+    joined = pairs.join(one, pairs["a"] == one["_a"]).join(other, pairs["b"] == other["_b"]).select("a", "b", "_wa", "_wb")
+    kept = joined.mapInArrow(_compare(least_matches(percent, size=WIDE)), "a long, b long, m int")
+    return materialize(kept.groupBy("a", "b").agg(F.max("m").alias("m")), "sharp-pairs")
+
+
+def _leader(turn: int) -> Column:
+    """Aggregate: a bucket's member of the smallest hash in this turn."""
+    return F.min_by("rep", F.struct(F.xxhash64("rep", "bucket", F.lit(turn)), "rep"))
+
+
+def _best_tries(tries: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each member (b) the likeliest of the leaders (a) it is to be tried against."""
+    tries = tries.distinct()
+    x, y = signed.alias("x"), signed.alias("y")
+    scored = tries.join(x, F.col("x.rep") == tries["leader"]).join(y, (F.col("y.rep") == tries["rep"]) & _likely("x", "y", percent))
+    scored = scored.select(tries["leader"].alias("a"), tries["rep"].alias("b"), matches("x", "y").alias("m"))
+    return scored.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _as_links(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, rep, c, main: members of buckets whose members are in several components, main being the largest."""
+    placed = buckets.select("bucket", "rep").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"), F.count("*").alias("parts"))
+    return placed.join(sizes.where("parts > 1").drop("parts"), "bucket")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable) and kept (whether that is itself)."""
     src = two(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
@@ -172,32 +238,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = feats.join(own, (F.col("digest") == F.col("_own")) & (F.col("_id") == F.col("rep"))).select("rep", "n", *PACKED, "bands")
     signed = reps.select("rep", "n", *PACKED)
 
-    # Buckets of at least two classes.
+    # Buckets of at least two classes, each with a leader of its own: many leaders give a member many chances.
     exploded = reps.select("rep", F.explode("bands").alias("bucket"))
-    leaders = exploded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader < _last").drop("_last")
+    leaders = exploded.groupBy("bucket").agg(_leader(0).alias("leader"), F.min("rep").alias("_first"), F.max("rep").alias("_last")).where("_first < _last").select("bucket", "leader")
     buckets = materialize(exploded.join(leaders, "bucket"), "buckets")
 
     # Links by definition: texts of one id.
     same = members.where("rep is not null").groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("_all")).where("a < b").select("a", F.explode("_all").alias("b")).where("a <> b")
 
-    # Every member against the likeliest of its buckets' smallest members.
-    tries = buckets.where("rep <> leader").select("leader", "rep").distinct()
-    x, y = signed.alias("x"), signed.alias("y")
-    scored = tries.join(x, F.col("x.rep") == tries["leader"]).join(y, (F.col("y.rep") == tries["rep"]) & _likely("x", "y", percent))
-    scored = scored.select(tries["leader"].alias("a"), tries["rep"].alias("b"), matches("x", "y").alias("m"))
-    first = materialize(scored.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs")
-    links = same.unionByName(confirm(first, src, percent))
-    found = components(links)
+    # Every member against the likeliest of its buckets' leaders.
+    first = materialize(_best_tries(buckets.where("rep <> leader").select("leader", "rep"), signed, percent), "first-pairs")
+    found = components(same.unionByName(confirm(first, src, percent)))
+
+    # Then everyone outside a bucket's largest component against a leader of that component, a few times.
+    for turn in range(1, STAR_ROUNDS + 1):
+        apart = materialize(_apart(buckets, found), "apart")
+        chiefs = apart.where("c = main").groupBy("bucket").agg(_leader(turn).alias("leader"))
+        tries = apart.where("c <> main").join(chiefs, "bucket").select("leader", "rep")
+        pairs = materialize(_best_tries(tries, signed, percent), "star-pairs")
+        if pairs.isEmpty():
+            break
+        found = components(_as_links(found).unionByName(confirm(pairs, src, percent)))
 
-    # Pairs of a bucket that are still apart: everyone outside the bucket's largest component against those of other components.
-    placed = buckets.select("bucket", "rep").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    apart = materialize(placed.join(sizes, "bucket").join(signed, "rep").select("bucket", "rep", "c", "main", "n", *PACKED), "apart")
+    # What is still apart is tried exhaustively: outside members against all of other components.
+    apart = materialize(_apart(buckets, found).join(signed, "rep").select("bucket", "rep", "c", "main", "n", *PACKED), "apart")
     x, y = apart.where("c <> main").alias("x"), apart.alias("y")
     differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     rest = x.join(y, differ & _likely("x", "y", percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), matches("x", "y").alias("m"))
-    rest = rest.groupBy("a", "b").agg(F.max("m").alias("m")).join(first, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest-pairs")
+    rest = rest.groupBy("a", "b").agg(F.max("m").alias("m")).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = sharpen(materialize(rest, "rest-pairs"), src, percent)
     for best_only in (True, False):
         ca, cb = (found.select(F.col("node").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
         now = rest.join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left")
@@ -207,8 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now = materialize(now.select("a", "b"), "later-pairs")
         if now.isEmpty():
             break
-        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(now, src, percent))
-        found = components(links)
+        found = components(_as_links(found).unionByName(confirm(now, src, percent)))
 
     out = members.join(found, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "_id")
