@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +21,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: what stands inside a lambda is evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(as_double(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    scale = lambda w, n: F.transform(w, lambda x: x / n)
+    return bind(as_double(v), lambda w: bind(F.coalesce(F.nullif(norm(w), F.lit(0.0)), F.lit(1.0)), lambda n: scale(w, n)))
 
 
 def centered(v: Column, mean: Column) -> Column:
