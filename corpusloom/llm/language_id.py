@@ -17,6 +17,7 @@ are read in slices of bounded memory and counted whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -98,7 +99,7 @@ def _featurise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(batch=batch):
             for lang, order, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (counts := gram_counts(text or "")) is not None:
-                    yield lang, order, counts.tobytes()
+                    yield lang, order, zlib.compress(counts.tobytes(), 1)
 
         yield from batches(rows(), schema, 256)
 
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     limits = ids.groupBy("_lang").agg(F.max("_order").alias("_limit"))
     chosen = rows.join(F.broadcast(limits), "_lang").withColumn("_order", order).where(F.col("_order") <= F.col("_limit")).select("_lang", "_order", "_text")
     found = chosen.mapInArrow(_featurise, "_lang string, _order long, _counts binary").collect()
-    return train([(r._lang, r._order, np.frombuffer(bytes(r._counts), np.float32)) for r in found], clusters, reject, margin)
+    return train([(r._lang, r._order, np.frombuffer(zlib.decompress(bytes(r._counts)), np.float32)) for r in found], clusters, reject, margin)
 
 
 def train(rows: list[tuple[str, int, np.ndarray]], clusters: int = 4, reject: float = 0.0005, margin: float = 0.35) -> Model:
