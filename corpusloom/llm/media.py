@@ -1,8 +1,8 @@
 """Media columns: texts stored as 8-bit WAV, and spectral-peak pair fingerprints of what is read back.
 
 The wave module writes and reads the media form.  Short-time Fourier transforms of the samples give a
-spectrogram; the strongest local peaks of each frame are paired with peaks of the frames that follow, and
-each pair (first bin, second bin, frames between) becomes a code at the first peak's time.
+spectrogram; the strongest local peaks of each frame are paired with one another and with peaks of the frames
+that follow, and each pair (first bin, second bin, frames between) becomes a code at the first peak's time.
 
 Defined cases.  Null is empty; the payload of an empty text is 64 zero bytes, whose silence has no peaks
 and so no pairs.  Equal texts have equal media and fingerprints.  Very long texts are transformed in slices of
@@ -68,10 +68,16 @@ def peaks(magnitudes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes): pairs of peaks at most AHEAD frames apart, the FAN nearest for each first peak."""
+    """(times, codes): pairs of peaks of one frame, and of frames at most AHEAD apart, the FAN nearest for each first peak."""
     bins = np.concatenate([peaks(m) for m in spectrogram(np.frombuffer(samples, np.uint8))])
     frames = len(bins)
     times, codes, ranks = [], [], []
+    for first in range(PEAKS):  # a frame's own peaks, so that a text of one frame has a fingerprint too
+        for second in range(first + 1, PEAKS):
+            ok = np.flatnonzero(bins[:, second] >= 0)  # peaks are in order of strength, so the first is there
+            times.append(ok)
+            codes.append(bins[ok, first] << 12 | bins[ok, second] << 4)
+            ranks.append(np.full(len(ok), first * PEAKS + second - PEAKS * PEAKS))
     rank = 0
     for ahead in range(1, AHEAD + 1):
         if ahead >= frames or rank >= FAN:
@@ -86,8 +92,6 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
                 codes.append(a[ok] << 12 | b[ok] << 4 | ahead)
                 ranks.append(np.full(len(ok), rank * PEAKS + first))
             rank += 1
-    if not times:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     t, c, r = (np.concatenate(x) for x in (times, codes, ranks))
     order = np.lexsort((r, t))
     return t[order], c[order]
