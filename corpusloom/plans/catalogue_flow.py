@@ -110,15 +110,15 @@ def stage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals of the whole analysis over the documents."""
-    out = analysis.analyse(from_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return out.proposals.proposals.select("id", "kind", "name", "confidence", F.col("primaries").alias("size"))
+    _, found = analysis.analyse(from_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return found.proposals.select("id", "kind", "name", "confidence", F.col("primaries").alias("size"))
 
 
 def analysis_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the whole analysis against the documents' language."""
     from corpusloom.operators import evaluate
 
-    out = analysis.analyse(from_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    out = analysis.group_notes(from_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
     pairs = out.communities.join(langs, "id").select(F.col("lang").alias("label"), F.col("community").alias("cluster"))
     return evaluate.partition_score(pairs)
