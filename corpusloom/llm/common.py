@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,43 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch tables written by this driver process, in order of writing.
-_WRITTEN: list[str] = []
+from corpusloom.sources.scratch import materialize, release, scratch_root
+
+__all__ = ["materialize", "release", "scratch_root"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests, local runs)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(root)
-    return root
-
-
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to a shared scratch table and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corpusloom-scratch/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table written so far.  Call when no live DataFrame reads them any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
