@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize
 
 
+#: At most so many edges are solved by one task, whose memory they bound; more take rounds of joins.
+IN_TASK_EDGES = 200_000
+
+
+def _solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of one small graph."""
+    up: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while (p := up.setdefault(n, n)) != n:
+            up[n] = up[p]
+            n = p
+        return n
+
+    for batch in it:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+    found = [(n, r) for n in up if (r := root(n)) != n]
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["u", "v"])
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     """Equal for equal edge sets: their number and two sums of hashes."""
     h = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", in_task_edges: int = IN_TASK_EDGES) -> DataFrame:
     """node, component: the smallest node reachable, for every node that is not its component's smallest.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest node next to it;
@@ -22,6 +47,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     seen = _fingerprint(now)
+    if seen[0] <= in_task_edges:
+        now = materialize(now.repartition(1).mapInArrow(_solve, "u long, v long"), "edges")
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
