@@ -173,34 +173,30 @@ def _texts(src: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _widen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("_id", pa.int64()), ("wide", pa.binary())])
+    schema = pa.schema([("_wide_id", pa.int64()), ("wide", pa.list_(pa.int64()))])
     hashes = WordHashes()
     for batch in it:
-        yield from batches(((i, pack(minima(shingles(text, hashes), _WIDE_FACTORS)).tobytes()) for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)), schema, 2048)
+        yield from batches(((i, pack(minima(shingles(text, hashes), _WIDE_FACTORS))) for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)), schema, 2048)
 
 
-def _compare(least: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(batch.num_rows, LOW_BITS, -1) for c in batch.columns[2:])
-            equal = WIDE - np.bitwise_count(np.bitwise_or.reduce(x ^ y, axis=1)).sum(axis=1).astype(np.int32)
-            keep = np.flatnonzero(equal >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(equal[keep])], schema=schema)
-
-    return run
+def _wide_signatures(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep, wide: signatures of WIDE positions, as bit planes, of the texts with these ids."""
+    texts = src.join(ids, src["_id"] == ids["rep"], "left_semi").select("_id", "_text")
+    return texts.mapInArrow(_widen, "_wide_id long, wide array<long>").groupBy(F.col("_wide_id").alias("rep")).agg(F.first("wide").alias("wide"))
 
 
-def sharpen(pairs: DataFrame, src: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that a signature of WIDE positions still finds likely, with its matches as m."""
-    wide = materialize(_texts(src, pairs).select("_id", "_text").mapInArrow(_widen, "_id long, wide binary"), "wide")
-    one, other = (wide.select(F.col("_id").alias(f"_{k}"), F.col("wide").alias(f"_w{k}")) for k in "ab")
-    joined = pairs.join(one, pairs["a"] == one["_a"]).join(other, pairs["b"] == other["_b"]).select("a", "b", "_wa", "_wb")
-    kept = joined.mapInArrow(_compare(least_matches(percent, size=WIDE)), "a long, b long, m int")
-    return materialize(kept.groupBy("a", "b").agg(F.max("m").alias("m")), "sharp-pairs")
+def _wide_matches(a: str, b: str) -> Column:
+    """How many of the WIDE positions have equal low bits."""
+    words = WIDE // 64
+    total = F.lit(WIDE)
+    for w in range(words):
+        differ = None
+        for plane in range(LOW_BITS):
+            k = F.lit(plane * words + w)
+            x = F.get(f"{a}.wide", k).bitwiseXOR(F.get(f"{b}.wide", k))
+            differ = x if differ is None else differ.bitwiseOR(x)
+        total = total - F.bit_count(differ)
+    return total
 
 
 def _leader(turn: int) -> Column:
@@ -240,14 +236,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets of at least two classes, each with a leader of its own: many leaders give a member many chances.
     exploded = reps.select("rep", F.explode("bands").alias("bucket"))
-    leaders = exploded.groupBy("bucket").agg(_leader(0).alias("leader"), F.min("rep").alias("_first"), F.max("rep").alias("_last")).where("_first < _last").select("bucket", "leader")
-    buckets = materialize(exploded.join(leaders, "bucket"), "buckets")
+    shared = exploded.groupBy("bucket").agg(F.min("rep").alias("_first"), F.max("rep").alias("_last")).where("_first < _last").select("bucket")
+    buckets = materialize(exploded.join(shared, "bucket"), "buckets")
+    leaders = buckets.groupBy("bucket").agg(_leader(0).alias("leader"))
 
     # Links by definition: texts of one id.
     same = members.where("rep is not null").groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("_all")).where("a < b").select("a", F.explode("_all").alias("b")).where("a <> b")
 
     # Every member against the likeliest of its buckets' leaders.
-    first = materialize(_best_tries(buckets.where("rep <> leader").select("leader", "rep"), signed, percent), "first-pairs")
+    first = materialize(_best_tries(buckets.join(leaders, "bucket").where("rep <> leader").select("leader", "rep"), signed, percent), "first-pairs")
     found = components(same.unionByName(confirm(first, src, percent)))
 
     # Then everyone outside a bucket's largest component against a leader of that component, a few times.
@@ -260,13 +257,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         found = components(_as_links(found).unionByName(confirm(pairs, src, percent)))
 
-    # What is still apart is tried exhaustively: outside members against all of other components.
-    apart = materialize(_apart(buckets, found).join(signed, "rep").select("bucket", "rep", "c", "main", "n", *PACKED), "apart")
+    # What is still apart is tried exhaustively: outside members against all of other components.  A pair is made
+    # in the least of its common buckets alone, and only if its sizes and both signatures find it likely.
+    apart = _apart(buckets, found)
+    wide = _wide_signatures(src, materialize(apart.select("rep").distinct(), "apart-ids"))
+    apart = materialize(apart.join(reps.select("rep", "n", "bands", *PACKED), "rep").join(wide, "rep"), "apart")
     x, y = apart.where("c <> main").alias("x"), apart.alias("y")
     differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    rest = x.join(y, differ & _likely("x", "y", percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), matches("x", "y").alias("m"))
-    rest = rest.groupBy("a", "b").agg(F.max("m").alias("m")).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = sharpen(materialize(rest, "rest-pairs"), src, percent)
+    sharp = _wide_matches("x", "y")
+    likely = _likely("x", "y", percent) & (sharp >= least_matches(percent, size=WIDE)) & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
+    rest = x.join(y, differ & likely).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), sharp.alias("m"))
+    rest = materialize(rest, "rest-pairs")
     for best_only in (True, False):
         ca, cb = (found.select(F.col("node").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
         now = rest.join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left")
