@@ -112,7 +112,7 @@ def test_apply_and_undo(spark):
     after, journal = applying.apply_plan(files, plan, visible=True)
     got = {r.path: r.text for r in after.collect()}
     assert got["b.md"] == "b" and got["a.md"].startswith('---\nzk-type: note\nzk-indexes:\n  - "[[New]]"\n  - "[[Own]]"\n---\ntext a') and "Indexes: [[New]] · [[Own]]" in got["a.md"]
-    assert "Indexes/Gone.md" not in got and got["Indexes/Own.md"].endswith("%% indexa:end %%\r\n") and "- [[a]]" in got["Indexes/New.md"]
+    assert "Indexes/Gone.md" not in got and got["Indexes/Own.md"].endswith("%% corpusloom:end %%\r\n") and "- [[a]]" in got["Indexes/New.md"]
     assert tuple(applying.summary(journal).first()) == (1, 4, 1, 1)
     assert {tuple(r) for r in applying.undo(after, journal).collect()} == {tuple(r) for r in files.collect()}
     touched = after.withColumn("text", F.when(F.col("path") == "a.md", F.concat("text", F.lit("more"))).otherwise(F.col("text")))
