@@ -1,15 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counts of single words cover all training documents and every word.  Longer n-grams enter the automaton if
-they make up at least a fixed share of the training tokens, so there are at most 1 / share of each length:
-the automaton is small enough to broadcast, at every size of the corpus.  N-grams are smoothed by absolute
-discounting, interpolated with the next shorter context, so each state's probabilities sum to one.  States are the kept
-contexts, a failure arc leads from a context to the longest shorter one and carries its backoff weight, and
-a document is scored in one traversal from left to right that carries the state.
-
-Word counts grow with the corpus and are never gathered in one place.  Documents are encoded in blocks with
-a dictionary of their own; each block's distinct words are counted in a shuffle by word, and every block gets
-back the counts of its own words only.
+Counts of single words cover all training documents and every word.  Every longer n-gram that occurs at least
+MIN_COUNT times in the training documents enters the automaton, so it grows with the corpus and is never
+gathered in one place.  N-grams are smoothed by absolute discounting, interpolated with the next shorter
+context, so each state's probabilities sum to one.  States are the contexts of kept n-grams, a failure arc leads from a
+context to the longest shorter one and carries its backoff weight.
+
+Documents are encoded in blocks with a dictionary of their own.  Each block's distinct words are counted in a
+shuffle by word; its distinct n-grams go, packed, to buckets by a hash of the context, where their counts are
+summed.  Every block gets back the counts and the contexts' weights of its own words and n-grams only: the part of
+the automaton that its documents can reach.  All positions of a block walk it at once.  The contexts of the most
+frequent words (at most HOT_WORDS of them, a matter of load only) are split over several buckets.  N-grams are told
+apart by 64 bits of the context and 40 or 48 of the last word.
 
 Defined cases.  Null is empty; an empty text is the end token alone.  Rows of null id are scored, not learnt
 from, and count as not held out.  Rows that share an id are documents each.  Without training tokens N = V = 0
@@ -18,22 +20,27 @@ and every token has the probability of an unknown word, 1.  Very long texts are
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, materialize
+from corpusloom.llm.common import as_bytes, materialize, mix64
 
 #: The end token; as white space it can't be a word.
 END = b"\n"
 ADD = 0.1
 DISCOUNT = 0.75
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 1_000_000
+BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 1_000_000
+#: Training occurrences from which an n-gram is kept, at every size of the corpus.
+MIN_COUNT = 2
+BUCKET_TOKENS, HOT_WORDS = 500_000, 200
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -60,98 +67,198 @@ def unpack_codes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint16, n).astype(np.int64) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.int64) << 16
 
 
-ENCODED = pa.schema([("block", pa.int64()), ("is_word", pa.bool_()), ("_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("word", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
-ENCODED_DDL = "block long, is_word boolean, _id long, held_out boolean, codes binary, word binary, code int, n long"
+BLOCK = [("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("hashes", pa.binary())]
+ENCODED = pa.schema([("block", pa.int64()), *BLOCK, ("word", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
+ENCODED_DDL = "block long, ids array<long>, held_out array<boolean>, learn array<boolean>, sizes array<long>, codes binary, hashes binary, word binary, code int, n long"
 
 
 def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as codes of their block's dictionary, then the dictionary with training counts."""
+    """A row for each block, its documents as codes of the block's dictionary; then the dictionary with training counts."""
     part, chunk = TaskContext.get().partitionId(), 0
-    codes, counts, held = _Codes(), np.zeros(0, np.int64), 0
-
-    def block() -> int:
-        return part << 24 | chunk
 
-    def dictionary() -> Iterator[pa.RecordBatch]:
-        words = list(codes)
+    def whole(codes: _Codes, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        block, words = part << 24 | chunk, list(codes)
+        counts = np.zeros(len(words), np.int64)
+        if learnt := [unpack_codes(d[3]) for d in docs if d[2]]:
+            counts += np.bincount(np.concatenate(learnt), minlength=len(words))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).tobytes()
+        codes_of = pack_codes(np.concatenate([unpack_codes(d[3]) for d in docs]))
+        own = [[d[0] for d in docs], [d[1] for d in docs], [d[2] for d in docs], [len(d[3]) // 3 for d in docs], codes_of, hashes]
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([v], f[1]) for v, f in zip(own, BLOCK, strict=True)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], schema=ENCODED)
         for at in range(0, len(words), 50_000):
-            own = words[at : at + 50_000]
-            n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([block()] * n, pa.int64()), pa.array([True] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(own, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(counts[at : at + n])], schema=ENCODED)
+            some = words[at : at + 50_000]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(pa.nulls(n, f[1]) for f in BLOCK), pa.array(some, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(counts[at : at + n])], schema=ENCODED)
 
+    codes, docs, held = _Codes(), [], 0
     for batch in it:
         for at in range(0, batch.num_rows, 1024):
             piece = batch.slice(at, 1024)
-            ids, flags, learn, out = piece.column(0).to_pylist(), piece.column(2).to_pylist(), [], []
-            learns = piece.column(3).to_pylist()
-            for text, l in zip(as_bytes(piece.column(1)), learns, strict=True):
+            rest = [piece.column(k).to_pylist() for k in (0, 2, 3)]
+            for text, i, h, l in zip(as_bytes(piece.column(1)), *rest, strict=True):
                 own = tokens_of(text)
-                c = np.fromiter(map(codes.__getitem__, own), np.int64, len(own))
-                out.append(pack_codes(c))
-                held += len(c)
-                if l:
-                    learn.append(c)
-            counts = np.concatenate([counts, np.zeros(len(codes) - len(counts), np.int64)])
-            if learn:
-                counts += np.bincount(np.concatenate(learn), minlength=len(counts))
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([block()] * n, pa.int64()), pa.array([False] * n), pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(out, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], schema=ENCODED)
-            if held >= BLOCK_TOKENS or len(codes) >= BLOCK_WORDS:
-                yield from dictionary()
-                codes, counts, held, chunk = _Codes(), np.zeros(0, np.int64), 0, chunk + 1
-    if held:
-        yield from dictionary()
-
-
-BITS = 18  # of a frequent word's number in a packed n-gram
-
-
-def _count(order: int, vocab, kept):
-    """(key, n): training counts of n-grams of frequent words whose shorter parts are both kept."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+                docs.append((i, h, l, pack_codes(np.fromiter(map(codes.__getitem__, own), np.int64, len(own)))))
+                held += len(own)
+                if held >= BLOCK_TOKENS or len(codes) >= BLOCK_WORDS:
+                    yield from whole(codes, docs)
+                    codes, docs, held, chunk = _Codes(), [], 0, chunk + 1
+    if docs:
+        yield from whole(codes, docs)
+
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocab.value.get
-        below = kept.value  # sorted keys of the (order - 1)-grams
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The low ``width`` bytes of 64-bit numbers, byte by byte."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes, width: int = 8) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+class Hot:
+    """The most frequent words' hashes and into how many parts their contexts are split."""
+
+    def __init__(self, counts: dict[bytes, int], total: int) -> None:
+        words = sorted((xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items())
+        self.words = np.array([h for h, _ in words], np.uint64)
+        self.parts = np.array([-(-n * HOT_WORDS // total) for _, n in words], np.int64)
+
+    def parts_of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.ones(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.parts[at], 1)
+
+    def contexts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(part, context) of all contexts that are split, sorted by part."""
+        parts, keys = self.parts, self.words
+        if order == 3:
+            keys = pair_hash(np.repeat(self.words, len(self.words)), np.tile(self.words, len(self.words)))
+            parts = np.minimum(np.repeat(self.parts, len(self.parts)), np.tile(self.parts, len(self.parts)))
+        keys, parts = keys[parts > 1], parts[parts > 1]
+        which = np.repeat(keys, parts)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        part = part_hash(which, nth.astype(np.uint64))
+        at = np.argsort(part)
+        return part[at], which[at]
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def part_hash(context: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(context + nth * np.uint64(0xD1B54A32D192ED03))
+
+
+WIDTH = {2: 6, 3: 5}  # bytes of the last word's hash
+
+
+class Grams:
+    """The distinct n-grams of a block, ordered by the part of the context they are sent to."""
+
+    def __init__(self, order: int, codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, hot: Hot, buckets: int) -> None:
+        first = np.cumsum(sizes) - sizes
+        inside = np.arange(len(codes)) - np.repeat(first, sizes)
+        self.at = np.flatnonzero(inside >= order - 1)  # positions of last words
+        del inside
+        key = codes[self.at - 1] << 24 | codes[self.at]
+        if order == 3:
+            pairs, which = np.unique(codes[self.at - 2] << 24 | codes[self.at - 1], return_inverse=True)
+            key = which << 24 | codes[self.at]
+            del which
+        distinct, self.which = np.unique(key, return_inverse=True)
+        del key
+        before, last = distinct >> 24, hashes[distinct & 0xFFFFFF]
+        if order == 3:
+            a, b = hashes[pairs >> 24], hashes[pairs & 0xFFFFFF]
+            self.context, parts = pair_hash(a, b)[before], np.minimum(hot.parts_of(a), hot.parts_of(b))[before]
+        else:
+            self.context, parts = hashes[before], hot.parts_of(hashes)[before]
+        part = part_hash(self.context, last % parts.astype(np.uint64))
+        by = np.argsort(part, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.which = place[self.which]  # of each position
+        self.context, self.last, self.part = self.context[by], last[by] & np.uint64((1 << 8 * WIDTH[order]) - 1), part[by]
+        bucket = (self.part >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        self.limits = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpack_codes(row["codes"]), np.array(row["sizes"], np.int64), np.frombuffer(row["hashes"], np.uint64)
+
+
+GRAMS_DDL = "block long, bucket int, parts binary, runs binary, last binary, n binary"
+COUNTED = pa.schema([("block", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("sums", pa.binary()), ("kinds", pa.binary())])
+COUNTED_DDL = "block long, order int, bucket int, totals binary, sums binary, kinds binary"
 
-        def known(k: np.ndarray) -> np.ndarray:
-            if not len(below):
-                return np.zeros(len(k), bool)
-            at = np.minimum(np.searchsorted(below, k), len(below) - 1)
-            return below[at] == k
 
-        def emit() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], schema=schema)
+def _runs(part: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]])
 
+
+def _send(order: int, hot, buckets: int):
+    """Packed distinct n-grams of each block with their training counts, a row for each bucket."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for at in range(0, batch.num_rows, 2048):
-                flat: list[int] = []
-                for text in as_bytes(batch.column(0).slice(at, 2048)):
-                    flat += [get(w, -1) for w in tokens_of(text)]
-                    flat.append(-1)  # documents don't run into each other
-                v = np.array(flat, np.int64)
-                if len(v) < order:
-                    continue
-                ok = np.ones(len(v) - order + 1, bool)
-                for k in range(order):
-                    ok &= v[k : len(v) - order + 1 + k] >= 0
-                place = np.flatnonzero(ok)
-                head = np.zeros(len(place), np.int64)
-                for k in range(order - 1):
-                    head = head << BITS | v[place + k]
-                tail = np.zeros(len(place), np.int64)
-                for k in range(1, order):
-                    tail = tail << BITS | v[place + k]
-                both = known(head) & known(tail)
-                found, n = np.unique(head[both] << BITS | v[place[both] + order - 1], return_counts=True)
-                keys, which = np.unique(np.concatenate([keys, found]), return_inverse=True)
-                counts = np.bincount(which, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > 2_000_000:
-                yield from emit()
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield from emit()
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                codes, sizes, hashes = _block(row)
+                g = Grams(order, codes, sizes, hashes, hot.value, buckets)
+                learn = np.repeat(np.array(row["learn"], bool), sizes)[g.at]
+                n = np.bincount(g.which[learn], minlength=len(g.part))
+                for b in range(buckets):
+                    x, y = g.limits[b : b + 2]
+                    if x < y:
+                        runs = _runs(g.part[x:y])
+                        starts = g.part[x:y][runs[:-1]]
+                        values = [row["block"], b, _planes(np.diff(starts, prepend=np.uint64(0))), _planes(np.diff(runs), 4), _planes(g.last[x:y], WIDTH[order]), _planes(n[x:y], 4)]
+                        yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), pa.array([b], pa.int32()), *(pa.array([v], pa.binary()) for v in values[2:])], ["block", "bucket", "parts", "runs", "last", "n"])
+
+    return run
+
+
+def _sum(order: int, least: float, split):
+    """Per block: totals of kept n-grams (else 0) and, for each context, the sum and number of its kept n-grams.
+
+    Split contexts are also given once for each part, with block -1, since other buckets hold the rest.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        blocks = rows.column("block").to_pylist()
+        read = lambda name, width: [_from_planes(v, width) for v in rows.column(name).to_pylist()]
+        lengths = [r.astype(np.int64) for r in read("runs", 4)]
+        starts = [np.cumsum(d) for d in read("parts", 8)]
+        part = np.concatenate([np.repeat(s, r) for s, r in zip(starts, lengths, strict=True)])
+        last, n = np.concatenate(read("last", WIDTH[order])), np.concatenate(read("n", 4)).astype(np.int64)
+        by = np.lexsort((last, part))
+        p, w = part[by], last[by]
+        fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])
+        heads = np.flatnonzero(fresh)
+        total = np.add.reduceat(n[by], heads)
+        total[total < least] = 0
+        whole = np.empty(len(by), np.int64)
+        whole[by] = total[np.cumsum(fresh) - 1]
+        runs = _runs(p[heads])
+        contexts, sums, kinds = p[heads][runs[:-1]], np.add.reduceat(total, runs[:-1]), np.add.reduceat((total > 0).astype(np.int64), runs[:-1])
+        out, at = [], 0
+        pack = lambda x: zlib.compress(_planes(x), 1)
+        for block, s, r in zip(blocks, starts, lengths, strict=True):
+            size, own = int(r.sum()), np.searchsorted(contexts, s)
+            out.append((block, order, bucket, pack(whole[at : at + size]), pack(sums[own]), pack(kinds[own])))
+            at += size
+        parts = split.value[0]
+        if (own := np.flatnonzero(np.isin(contexts, parts))).size:
+            out.append((-1, order, bucket, pack(contexts[own]), pack(sums[own]), pack(kinds[own])))
+        return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(COUNTED)], schema=COUNTED)
 
     return run
 
@@ -230,58 +337,114 @@ SCORED = pa.schema([("_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 SCORED_DDL = "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shared):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        model: Automaton = shared.value
-        code = words.column("code").to_numpy()
-        counts = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
-        counts[code] = words.column("total").to_numpy()
-        numbers = np.full(len(counts), -1, np.int64)
-        named = words.filter(words.column("frequent").is_valid())
-        for c, w in zip(named.column("code").to_pylist(), named.column("frequent").to_pylist(), strict=True):
-            numbers[c] = model.words[w]
-        plain = np.log10((counts + ADD) / (model.total + ADD * (model.distinct + 1)))
-        rows = []
-        for i, held, data in zip(docs.column("_id").to_pylist(), docs.column("held_out").to_pylist(), docs.column("codes"), strict=True):
-            codes = unpack_codes(data.as_py())
-            each = plain[codes]
-            rows.append((i, held, len(codes), int((counts[codes] > 0).sum()), model.total, float(each.sum()), model.score(numbers[codes].tolist(), each.tolist())))
-        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(SCORED)], schema=SCORED)
+def _unpack(data: bytes) -> np.ndarray:
+    return _from_planes(zlib.decompress(data)).astype(np.int64)
+
+
+def _walk(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, word_counts: np.ndarray, plain: np.ndarray, order: int, found: dict[int, list[tuple]], hot: Hot, buckets: int, split: dict[int, tuple]) -> np.ndarray:
+    """log10 probability of each position, by the arcs and failure arcs that the block's n-grams reach.
+
+    found: by order, (bucket, totals, sums, kinds) as sent back.  split: by order, the contexts over several buckets with
+    their sums and numbers.  A position whose context is no state, or has no arc for the word, goes on from the
+    next shorter context with the backoff weight of the one it left.
+    """
+    out = plain[codes]  # so far: from the state without context
+    prob = 10.0**out
+    size_of = word_counts[codes].astype(np.float64)  # training count of the (n - 1)-gram that ends at a position
+    for n in range(2, order + 1):
+        g = Grams(n, codes, sizes, hashes, hot, buckets)
+        totals, sums, kinds = (np.zeros(len(g.part), np.int64) for _ in range(3))
+        for bucket, *data in found.get(n, ()):
+            x, y = g.limits[bucket : bucket + 2]
+            lengths = np.diff(_runs(g.part[x:y]))
+            totals[x:y] = _unpack(data[0])
+            sums[x:y], kinds[x:y] = (np.repeat(_unpack(d), lengths) for d in data[1:])
+        keys, all_sums, all_kinds = split[n]
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, g.context), len(keys) - 1)
+            hit = keys[at] == g.context
+            sums[hit], kinds[hit] = all_sums[at[hit]], all_kinds[at[hit]]
+        at, which = g.at, g.which
+        del g
+        state = kinds[which] > 0
+        at, which = at[state], which[state]
+        whole, t = size_of[at - 1], totals[which]
+        back = 1 - (sums[which] - DISCOUNT * kinds[which]) / whole
+        arc = t > 0
+        prob[at] = np.where(arc, (t - DISCOUNT) / whole, 0.0) + back * prob[at]
+        out[at] = np.where(arc, np.log10(prob[at]), np.log10(back) + out[at])
+        size_of = np.zeros(len(codes))
+        size_of[at] = t
+    return out
+
+
+SCORED = pa.schema([("_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORED_DDL = "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(total: int, distinct: int, order: int, hot, buckets: int, split):
+    def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return SCORED.empty_table()
+        row = docs.to_pylist()[0]
+        codes, sizes, hashes = _block(row)
+        words = sent.filter(sent.column("code").is_valid())
+        counts = np.zeros(len(hashes), np.int64)
+        counts[words.column("code").to_numpy()] = words.column("total").to_numpy()
+        found: dict[int, list[tuple]] = defaultdict(list)
+        for r in sent.filter(sent.column("order").is_valid()).select(["order", "bucket", "totals", "sums", "kinds"]).to_pylist():
+            found[r["order"]].append((r["bucket"], r["totals"], r["sums"], r["kinds"]))
+        plain = np.log10((counts + ADD) / (total + ADD * (distinct + 1)))
+        each = _walk(codes, sizes, hashes, counts, plain, order, found, hot.value, buckets, split.value)
+        first = np.cumsum(sizes) - sizes  # every document has a token
+        known, base, score = (np.add.reduceat(x, first) for x in ((counts[codes] > 0).astype(np.int64), plain[codes], each))
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(score)], schema=SCORED)
 
     return run
 
 
-def score_documents(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 3, word_share: float = 1e-4, gram_share: float = 2e-6) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 3, gram_share: float = 0.0) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (single words) and score (the automaton's).
 
-    ``word_share`` and ``gram_share``: the least shares of the training tokens for a word to be read by longer
-    contexts and for an n-gram to be kept.
+    N-grams of at least MIN_COUNT training occurrences are kept; ``gram_share`` asks for a least share of the
+    training tokens besides.
     """
-    if order > 3 or word_share < 2.0**-BITS:
-        raise ValueError("an n-gram's key has room for three words of 18 bits")
+    if order > 3:
+        raise ValueError("n-grams of at most three words are told apart")
     spark = docs.sparkSession
-    src = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"), held_out.alias("held_out"), learn.alias("learn"))
+    sc = spark.sparkContext
+    src = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"), held_out.alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"))
     encoded = materialize(src.mapInArrow(_encode, ENCODED_DDL), "encoded")
-    dictionary = encoded.where("is_word").select("block", "word", "code", "n")
+    blocks = encoded.where("codes is not null").select("block", "ids", "held_out", "learn", "sizes", "codes", "hashes")
+    dictionary = encoded.where("word is not null").select("block", "word", "code", "n")
     total = int(dictionary.agg(F.sum("n")).first()[0] or 0)
     by_word = Window.partitionBy("word")
     counted = dictionary.withColumn("total", F.sum("n").over(by_word)).withColumn("_nth", F.row_number().over(by_word.orderBy("block")))
-    frequent = (F.col("total") >= max(2.0, word_share * total)).cast("boolean")
-    counted = materialize(counted.select("block", "code", "total", (F.col("_nth") == 1).alias("_first"), F.when(frequent, F.col("word")).alias("frequent")), "word-counts")
+    first = F.col("_nth") == 1
+    counted = materialize(counted.select("block", "code", "total", first.alias("_first"), F.when(first & (F.col("total") * HOT_WORDS > total), F.col("word")).alias("hot")), "word-counts")
     distinct = counted.where("_first and total > 0").count()
-    top = sorted((bytes(r.frequent), r.total) for r in counted.where("_first and frequent is not null").select("frequent", "total").collect())
-    words = {w: v for v, (w, _) in enumerate(top)}
+    hot = sc.broadcast(Hot({bytes(r.hot): r.total for r in counted.where("hot is not null").select("hot", "total").collect()}, total))
 
-    sc = spark.sparkContext
-    vocab, kept, grams = sc.broadcast(words), np.arange(len(words), dtype=np.int64), []
+    buckets = max(1, -(-total // BUCKET_TOKENS))
+    sent = counted.select("block", "code", "total", *(F.lit(None).cast(t).alias(c) for c, t in (("order", "int"), ("bucket", "int"), ("totals", "binary"), ("sums", "binary"), ("kinds", "binary"))))
+    split = {}
     for n in range(2, order + 1):
-        found = src.where("learn").select("_text").mapInArrow(_count(n, vocab, sc.broadcast(kept)), "key long, n long")
-        found = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, gram_share * total)).collect()
-        mask = (1 << BITS) - 1
-        grams.append({tuple(r.key >> BITS * k & mask for k in range(n - 1, -1, -1)): r.n for r in found})
-        kept = np.array(sorted(r.key for r in found), np.int64)
-    model = sc.broadcast(Automaton(words, np.array([c for _, c in top], np.int64), grams, total, distinct))
-
-    texts = encoded.where("not is_word").select("block", "_id", "held_out", "codes")
-    pairs = texts.groupBy("block").cogroup(counted.select("block", "code", "total", "frequent").groupBy("block"))
-    return pairs.applyInArrow(_score(model), SCORED_DDL).withColumnRenamed("_id", id_col)
+        parts = sc.broadcast(hot.value.contexts(n))
+        packed = blocks.select("block", "learn", "sizes", "codes", "hashes").mapInArrow(_send(n, hot, buckets), GRAMS_DDL)
+        grams = materialize(packed.groupBy("bucket").applyInArrow(_sum(n, max(MIN_COUNT, gram_share * total), parts), COUNTED_DDL), f"grams-{n}")
+        split[n] = _whole(parts.value, grams.where("block < 0").select("totals", "sums", "kinds").collect())
+        sent = sent.unionByName(grams.where("block >= 0").select("block", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("total"), "order", "bucket", "totals", "sums", "kinds"))
+    pairs = blocks.groupBy("block").cogroup(sent.groupBy("block"))
+    return pairs.applyInArrow(_score(total, distinct, order, hot, buckets, sc.broadcast(split)), SCORED_DDL).withColumnRenamed("_id", id_col)
+
+
+def _whole(parts: tuple[np.ndarray, np.ndarray], rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted split contexts with the sums and numbers of all their parts."""
+    keys = np.unique(parts[1])
+    sums, kinds = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for r in rows:
+        part = _from_planes(zlib.decompress(bytes(r.totals)))
+        at = np.searchsorted(keys, parts[1][np.searchsorted(parts[0], part)])
+        np.add.at(sums, at, _unpack(bytes(r.sums)))
+        np.add.at(kinds, at, _unpack(bytes(r.kinds)))
+    return keys, sums, kinds

@@ -248,6 +248,28 @@ def test_lm_score(docs, texts, empty):
     assert lm_score.score_documents(empty, learn, held).count() == 0
 
 
+def test_lm_score_keeps_every_repeated_n_gram(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    pool, odds = [f"w{k}" for k in range(4000)], [1 / (k + 1) for k in range(4000)]
+    tokens = [[*rng.choices(pool, odds, k=300), "\n"] for _ in range(120)] + [["rare", "pair", "here", "\n"]] * 3
+    learnt = [own for i, own in enumerate(tokens) if i % 4 and i < 122]
+    counts = Counter(w for own in learnt for w in own)
+    names, total = {w: k for k, w in enumerate(sorted(counts))}, sum(counts.values())
+    grams = [{g: n for g, n in Counter(tuple(names[w] for w in own[k : k + size]) for own in learnt for k in range(len(own) - size + 1)).items() if n >= 2} for size in (2, 3)]
+    assert total > 20_000 and counts["rare"] == 1 and sum(n == 2 for n in counts.values()) > 100
+    auto = lm_score.Automaton({w.encode(): k for w, k in names.items()}, np.array([counts[w] for w in names]), grams, total, len(names))
+    df = spark.createDataFrame([(i, " ".join(own[:-1])) for i, own in enumerate(tokens)], "doc_id long, text string").repartition(3)
+    learn = (F.col("doc_id") % 4 != 0) & (F.col("doc_id") < 122)
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 5000, raising=False)
+    got = {r.doc_id: r.score for r in lm_score.score_documents(df, learn, ~learn).collect()}
+    for i, own in enumerate(tokens):
+        plain = [math.log10((counts[w] + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in own]
+        assert got[i] == pytest.approx(auto.score([names.get(w, -1) for w in own], plain)), i
+
+
 def test_automaton_states_sum_to_one():
     import numpy as np
 
