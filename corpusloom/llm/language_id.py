@@ -4,10 +4,11 @@ A text's features are counts of the 1- to 3-grams of its lower-cased letters (ru
 one blank), hashed to a fixed number of dimensions, damped by log1p, weighted by inverse document
 frequency and brought to unit length.  Each language's vectors are clustered by spherical k-means into a
 few centroids; a text takes the language of the centroid of largest cosine.  Texts further from every
-centroid than almost all training texts of its language are marked as rejected.
+centroid than almost all labelled texts of its language that the centroids were not fitted on are marked as rejected.
 
 The model is fitted on a bounded sample of labelled rows: of each language the ``sample`` training rows of
-the smallest hash of their id.  Prediction reads every whole text and nothing else.
+the smallest hash of their id, and the limits are set on the ``check`` rows that follow; where a language has fewer
+rows, half of them each.  Prediction reads every whole text and nothing else.
 
 Defined cases.  Null text and text without a letter: ``und``, score 0, rejected.  No training row: every
 text is ``und`` with score 0 and rejected.  Ties go to the language that sorts first.  Repeated rows are
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -104,24 +105,61 @@ def _featurise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(), schema, 256)
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, sample: int = 400, clusters: int = 4, reject: float = 0.0005, margin: float = 0.35) -> Model:
-    """Fit on at most ``sample`` rows of each language where ``learn`` holds.
+def _cosines(shared):
+    schema = pa.schema([("_lang", pa.string()), ("_cos", pa.float64())])
 
-    ``reject``: the share of a language's training texts allowed below its limit; the limit is ``margin``
-    times the cosine there, so that clean texts stay.
-    """
-    from pyspark.sql import Window
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+
+        def rows(batch: pa.RecordBatch):
+            for lang, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lang in model.languages and (counts := gram_counts(text or "")) is not None:
+                    own = model.centroids[model.owner == model.languages.index(lang)]
+                    yield lang, float((vectors(counts[None], model.idf) @ own.T).max())
+
+        for batch in it:
+            yield from batches(rows(batch), schema)
 
-    rows = docs.where(learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull()).select(docs[lang_col].alias("_lang"), docs[id_col].cast("string").alias("_id"), docs[text_col].alias("_text"))
-    order = F.xxhash64("_id")
-    ids = rows.select("_lang", order.alias("_order")).withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_order"))).where(F.col("_n") <= sample)
-    limits = ids.groupBy("_lang").agg(F.max("_order").alias("_limit"))
-    chosen = rows.join(F.broadcast(limits), "_lang").withColumn("_order", order).where(F.col("_order") <= F.col("_limit")).select("_lang", "_order", "_text")
-    found = chosen.mapInArrow(_featurise, "_lang string, _order long, _counts binary").collect()
-    return train([(r._lang, r._order, np.frombuffer(zlib.decompress(bytes(r._counts)), np.float32)) for r in found], clusters, reject, margin)
+    return run
+
+
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, sample: int = 400, check: int = 2000, clusters: int = 4, reject: float = 0.0025) -> Model:
+    """Fit on at most ``sample`` rows of each language where ``learn`` holds; set its limit on at most ``check`` others.
+
+    ``reject``: the share of a language's texts, none of them fitted on, that lies below its limit.
+    """
+    rows = docs.where(learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull())
+    rows = rows.select(docs[lang_col].alias("_lang"), F.xxhash64(docs[id_col].cast("string")).alias("_order"), docs[text_col].alias("_text"))
+    sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+    likely = (F.col("_order") / 2.0**64 + 0.5) * F.col("_n") <= 2 * (sample + check) + 64  # of the smallest hashes
+    orders = rows.join(F.broadcast(sizes), "_lang").where(likely).groupBy("_lang").agg(F.sort_array(F.collect_list("_order")).alias("_o"))
+    size = F.size("_o")
+    limits = orders.select("_lang", F.get("_o", F.least(F.lit(sample), F.ceil(size / 2).cast("int")) - 1).alias("_fit"), F.get("_o", F.least(F.lit(sample + check), size) - 1).alias("_last"))
+    chosen = rows.join(F.broadcast(limits), "_lang").where(F.col("_order") <= F.col("_last"))
+    fitted, others = (chosen.where(c).select("_lang", "_order", "_text") for c in (F.col("_order") <= F.col("_fit"), F.col("_order") > F.col("_fit")))
+    found = fitted.mapInArrow(_featurise, "_lang string, _order long, _counts binary").collect()
+    model = train([(r._lang, r._order, np.frombuffer(zlib.decompress(bytes(r._counts)), np.float32)) for r in found], clusters)
+    held = others.mapInArrow(_cosines(docs.sparkSession.sparkContext.broadcast(model)), "_lang string, _cos double").collect()
+    floor = [limit([r._cos for r in held if r._lang == lang], reject, f) for lang, f in zip(model.languages, model.floor, strict=True)]
+    return replace(model, floor=np.array(floor))
+
+
+def limit(cosines: list[float], reject: float, other: float = 0.0) -> float:
+    """The least cosine that isn't rejected: the quantile, or ``other`` without cosines.
+
+    Fewer than 1 / reject cosines don't show the quantile: the limit is then a quarter of the way from
+    their median to their least below the least.
+    """
+    if not cosines:
+        return other
+    low = float(np.quantile(cosines, reject))
+    if len(cosines) * reject < 1:
+        low -= 0.25 * (float(np.median(cosines)) - low)
+    return low - 1e-4  # for rounding: equal texts stay
 
 
-def train(rows: list[tuple[str, int, np.ndarray]], clusters: int = 4, reject: float = 0.0005, margin: float = 0.35) -> Model:
+def train(rows: list[tuple[str, int, np.ndarray]], clusters: int = 4) -> Model:
+    """A model whose limits are those of the rows themselves."""
     rows = sorted(rows, key=lambda r: (r[0], r[1], r[2].tobytes()))
     languages = tuple(sorted({r[0] for r in rows}))
     if not rows:
@@ -134,7 +172,7 @@ def train(rows: list[tuple[str, int, np.ndarray]], clusters: int = 4, reject: fl
     owner = np.concatenate([np.full(len(c), n) for n, c in enumerate(centroids)])
     stacked = np.concatenate(centroids)
     cos = v @ stacked.T
-    floor = np.array([margin * np.quantile(cos[labels == n][:, owner == n].max(axis=1), reject) for n in range(len(languages))])
+    floor = np.array([cos[labels == n][:, owner == n].max(axis=1).min() for n in range(len(languages))])
     return Model(languages, stacked, owner, idf, floor)
 
 

@@ -123,6 +123,33 @@ def test_language_id(docs, empty, spark):
     assert language_id.identify(odd, model).first().rejected
 
 
+def test_language_id_rejects_foreign_and_random_text(spark):
+    import base64
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    known = {
+        "en": "the and of to in that it is was for on are with as his they be at one have this from or had by hot but some what there we can out other were all your when up use word how said an each she which do their time if will way about many then them would write like so these her long make thing see him two has look more day could go come did my sound no most number who over know water than call first people may down side been now find".split(),
+        "fr": "le de un et être avoir que pour dans ce il qui ne sur se pas plus pouvoir par je avec tout faire son mettre autre on mais nous comme ou si leur dire devoir avant deux même prendre aussi celui donner bien où fois vous encore nouveau aller cela entre premier vouloir déjà grand mon me moins aucun lui temps très savoir falloir voir quelque sans raison notre dont non an monde jour monsieur demander alors après trouver personne rendre part".split(),
+    }
+    clean = [(i, " ".join(rng.choices(known[lang], k=rng.randint(2, 80))), lang) for i in range(3000) for lang in [("en", "fr")[i % 2]]]
+    odd = [(3000, "zz", "en"), (3001, "zz", "fr")]  # must not set the limit
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60)),
+        base64.b64encode(rng.randbytes(300)).decode(),
+    ]
+    df = spark.createDataFrame([*clean, *odd, *((9000 + k, t, None) for k, t in enumerate(foreign))], "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.col("doc_id") % 5 != 4)
+    got = rows_of(language_id.identify(df, model))
+    assert all(got[9000 + k].rejected for k in range(len(foreign)))
+    assert sum(got[i].rejected for i, _, _ in clean if i % 5 == 4) <= 6  # of 600
+    assert {r.doc_id for r in language_id.filter_rejected(df, model).collect()} == {i for i in got if not got[i].rejected}
+
+
 def test_pii_matches_the_grammars():
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
