@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import vectors as V
 from corpusloom.sources.scratch import materialize
 
-#: Beyond so many bytes of query vectors, neighbours are found by cells, not by a broadcast.
+#: Beyond so many bytes of query vectors, none are broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -94,6 +94,27 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 15, block: int =
     return _best(scanned, k)
 
 
+def _scored(k: int):
+    """The k best of one table's rows for each query of another."""
+
+    def score(q: pa.Table, m: pa.Table) -> pa.Table:
+        if not q.num_rows or not m.num_rows:
+            return NEIGHBOURS.empty_table()
+        ids, rows, out = m.column("id").to_numpy(), matrix(m.column("vector")), []
+        for at in range(0, q.num_rows, 1024):
+            part = q.slice(at, 1024)
+            own = part.column("id").to_numpy()
+            scores = matrix(part.column("vector")) @ rows.T
+            scores[own[:, None] == ids[None, :]] = -np.inf
+            best = top_k(scores, ids, k)
+            found = np.take_along_axis(scores, best, axis=1).ravel()
+            ok = np.isfinite(found)
+            out.append(pa.table([pa.array(np.repeat(own, best.shape[1])[ok]), pa.array(ids[best].ravel()[ok]), pa.array(found[ok])], schema=NEIGHBOURS))
+        return pa.concat_tables(out)
+
+    return score
+
+
 def train_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
     """Centres of spherical k-means over a bounded sample: the rows of the smallest hash of their id."""
     held = vectors.orderBy(F.xxhash64("id")).limit(sample).select(V.as_double(F.col("vector")).alias("vector")).toArrow()
@@ -134,29 +155,25 @@ def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 15, cells: int |
     index = plain(vectors).mapInArrow(assign(1), schema).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
     asked = plain(queries).mapInArrow(assign(probes), schema).withColumn("slice", F.explode(F.array(*[F.lit(s) for s in range(slices)])))
 
-    def score(q: pa.Table, m: pa.Table) -> pa.Table:
-        if not q.num_rows or not m.num_rows:
-            return NEIGHBOURS.empty_table()
-        ids, rows, out = m.column("id").to_numpy(), matrix(m.column("vector")), []
-        for at in range(0, q.num_rows, 1024):
-            part = q.slice(at, 1024)
-            own = part.column("id").to_numpy()
-            scores = matrix(part.column("vector")) @ rows.T
-            scores[own[:, None] == ids[None, :]] = -np.inf
-            best = top_k(scores, ids, k)
-            found = np.take_along_axis(scores, best, axis=1).ravel()
-            ok = np.isfinite(found)
-            out.append(pa.table([pa.array(np.repeat(own, best.shape[1])[ok]), pa.array(ids[best].ravel()[ok]), pa.array(found[ok])], schema=NEIGHBOURS))
-        return pa.concat_tables(out)
+    pairs = asked.groupBy("cell", "slice").cogroup(index.groupBy("cell", "slice")).applyInArrow(_scored(k), "src long, dst long, score double")
+    return _best(pairs, k)
 
-    pairs = asked.groupBy("cell", "slice").cogroup(index.groupBy("cell", "slice")).applyInArrow(score, "src long, dst long, score double")
+
+def knn_blocks(queries: DataFrame, vectors: DataFrame, k: int = 15, groups: int = 16) -> DataFrame:
+    """src, rank, dst, score as of knn_exact, without a broadcast: each group of queries meets each group of rows in a task."""
+    others = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    plain = lambda df: df.select(F.col("id").cast("long").alias("id"), V.as_double(F.col("vector")).alias("vector"))
+    asked = plain(queries).select("id", "vector", own.alias("asks"), others.alias("holds"))
+    held = plain(vectors).select("id", "vector", own.alias("holds"), others.alias("asks"))
+    pairs = asked.groupBy("asks", "holds").cogroup(held.groupBy("asks", "holds")).applyInArrow(_scored(k), "src long, dst long, score double")
     return _best(pairs, k)
 
 
 def knn(vectors: DataFrame, k: int = 15) -> DataFrame:
-    """Every row's neighbours: exact while all rows may be broadcast, by cells beyond (V-10)."""
-    small = vectors.count() * max(1, dims_of(vectors)) * 8 <= BROADCAST_BYTES // 4
-    return knn_exact(vectors, vectors, k) if small else knn_cells(vectors, vectors, k)
+    """Every row's exact neighbours at all sizes: by a broadcast while all rows may be one, by pairs of groups beyond."""
+    size, group = vectors.count() * max(1, dims_of(vectors)) * 8, BROADCAST_BYTES // 4
+    return knn_exact(vectors, vectors, k) if size <= group else knn_blocks(vectors, vectors, k, -(-size // group))
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -28,6 +28,13 @@ def test_neighbours_by_cells_recall(synthetic):
     assert vectors.recall(exact, vectors.knn_cells(synthetic, synthetic, 10, slice_rows=40)).first().recall >= 0.95
 
 
+def test_neighbours_are_exact_beyond_a_broadcast(spark, monkeypatch):
+    rows = cluster.synthetic_vectors(spark, 1500, 16, centres=1500).cache()
+    want = sorted(map(tuple, vectors.knn_exact(rows, rows, 10).select("src", "rank", "dst").collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 1 << 18)
+    assert sorted(map(tuple, vectors.knn(rows, 10).select("src", "rank", "dst").collect())) == want
+
+
 def test_quantiles_and_ranks(spark):
     rows = spark.createDataFrame([(float(x % 50),) for x in range(500)], "v double")
     ordered = sorted(x % 50 for x in range(500))
@@ -52,6 +59,13 @@ def test_louvain_finds_cliques(spark, in_task):
     assert cluster.modularity(df, found) > 0.5
 
 
+def test_louvain_rounds_wait_for_every_turn(spark):
+    turn = lambda r: F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+    late = [r.id for r in spark.range(100).where(~turn(0) & ~turn(1)).orderBy("id").limit(2).collect()]
+    df, nodes = spark.createDataFrame([(*late, 1.0)], "a long, b long, weight double"), spark.createDataFrame([(n,) for n in late], "id long")
+    assert cluster.louvain(df, nodes, in_task_edges=0).select("community").distinct().count() == 1
+
+
 def test_refinement_and_split(spark):
     edges = [(a, b, 1.0) for k in range(4) for a in range(6 * k, 6 * k + 6) for b in range(a + 1, 6 * k + 6)] + [(6 * k, 6 * k + 6, 0.01) for k in range(3)]
     df, one = spark.createDataFrame(edges, "a long, b long, weight double"), spark.range(24).select("id", F.lit(0).cast("long").alias("community"))
