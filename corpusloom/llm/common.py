@@ -55,6 +55,25 @@ def seeded64(n: int, seed: int) -> np.ndarray:
         return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Keys of so many rows, or of this share of them if that is more, are dealt over several tasks.
+HEAVY_ROWS, HEAVY_SHARE = 1000, 20_000
+
+
+def heavy(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """key, _parts: the keys with many rows and over how many tasks to deal them; at most HEAVY_SHARE rows."""
+    limit = max(HEAVY_ROWS, -(-total // HEAVY_SHARE))
+    return counts.where(F.col(n) >= limit).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / limit).cast("int").alias("_parts"))
+
+
+def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, heavy_keys: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` with ``keyed``, which has one row a key; rows of heavy keys are dealt by a hash of ``spread``."""
+    hot = F.broadcast(heavy_keys)
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, rows[key] == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_hot", "_parts")
+    right = keyed.join(hot, keyed[key] == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered; forgets all at a bounded number of words."""
 

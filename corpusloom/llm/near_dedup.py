@@ -5,18 +5,20 @@ generate candidates; of every minimum only the low four bits are kept, packed as
 64-bit integers.  The number of equal positions, found by bit counts and corrected for chance collisions,
 estimates the similarity of a candidate pair, and pairs far below the threshold go.  The rest are confirmed
 on their full shingle sets.  At similarity 0.75 a link escapes all bands with probability 5e-6, and the
-estimate, cut 5.5 standard deviations below the threshold, with about 2e-8.
+estimates, cut 5.5 standard deviations below the threshold, with about 2e-8 each.
 
-Texts of one shingle set are one class, found by a 128-bit digest, and only its smallest id is compared.
-Buckets are never gathered.  First every member is tried against the likeliest of its buckets' leaders.  After
-the components of these links, only pairs of a bucket in different components matter.  Members outside their
-bucket's largest component are tried against other leaders of it, a few times; then all pairs that are left
-are tried: outside members against all others, sifted by a longer signature, best estimates first.
+Texts of one shingle set are one class, found by a 128-bit digest, and only one text of it is compared.  First
+every class is tried against the likeliest of its buckets' leaders.  After the components of these links, only
+pairs of a bucket in different components matter.  They never become rows: a bucket's members, dealt into slices by
+a hash where they are many, meet slice by slice in tasks that compare their signatures and pass on the members
+with a likely partner; those meet once more with longer signatures and full sets, and each task passes
+on no more of the confirmed links than a forest of them.
 
 Defined cases.  Null and empty texts and texts without words have an empty set and are linked with nothing.
 Fewer than five words: the whole sequence is the one shingle.  Rows that share a doc_id are one document,
-linked if any of its texts links.  Rows of null id are kept and linked with nothing (component null).
-Columns besides id and text are not read.
+linked if any of its texts links.  Rows of null id are kept and linked with nothing (component null).  Very long
+texts are compared whole, and a slice holds fewer of them.  Ties are settled by hashes and ids, so results don't
+depend on the order of rows.  An empty table gives an empty table.  Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, as_bytes, batches, materialize, mix64, seeded64, two
-from corpusloom.llm.graph import components
+from corpusloom.llm.common import WordHashes, as_bytes, batches, dealt_join, heavy, materialize, mix64, seeded64, two
+from corpusloom.llm.graph import Forest, components
 
 SHINGLE = 5
 HASHES, ROWS, LOW_BITS = 128, 4, 4
@@ -42,8 +44,10 @@ _FACTORS = (seeded64(HASHES, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(
 #: A longer signature, made only of texts in pairs that the short one leaves open.
 WIDE = 1024
 _WIDE_FACTORS = (seeded64(WIDE, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-#: Turns of single tries before the exhaustive one.
-STAR_ROUNDS = 3
+#: Members of a bucket that meet in one task, first by signatures alone, then by so many bytes of their sets.
+SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+#: Rows or bytes gathered before the complete groups among them are worked on.
+GATHER_ROWS, GATHER_BYTES = 8192, 32 << 20
 _BAND_PLACES = seeded64(ROWS, 3) | np.uint64(1)
 _BAND_SALTS = seeded64(BANDS, 4)
 PACKED = [f"s{k}" for k in range(HASHES * LOW_BITS // 64)]
@@ -134,150 +138,246 @@ def _likely(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (matches(a, b) >= least_matches(percent))
 
 
-def _verify(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+SETS = pa.schema([("digest", pa.binary()), ("shingles", pa.binary()), ("wide", pa.binary())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept = WordHashes(), {}
 
-        def of(text: bytes) -> np.ndarray:
-            if (found := kept.get(text)) is None:
-                if len(kept) >= 64:
-                    kept.clear()
-                found = kept[text] = shingles(text, hashes)
-            return found
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
 
-        for batch in it:
-            out = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-                x, y = of(x), of(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], schema=schema)
+    def one(text: bytes) -> tuple:
+        found = shingles(text, hashes)
+        return xxhash.xxh3_128_digest(found.tobytes()), found.tobytes(), pack(minima(found, _WIDE_FACTORS)).tobytes()
 
-    return run
+    for batch in it:
+        yield from batches(map(one, as_bytes(batch.column(0))), SETS, 512)
 
 
-def confirm(pairs: DataFrame, src: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold on their full shingle sets."""
-    texts = materialize(_texts(src, pairs), "pair-texts")
-    one, other = (texts.select(F.col("_id").alias(f"_{k}"), F.col("_text").alias(f"_text_{k}")) for k in "ab")
-    joined = pairs.join(one, pairs["a"] == one["_a"]).join(other, pairs["b"] == other["_b"])
-    return materialize(joined.select("a", "b", "_text_a", "_text_b").mapInArrow(_verify(percent), "a long, b long"), "links")
+def full_sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, shingles, wide: full sets and long signatures of the wanted (cls, rep, digest), one row a class."""
+    ids = wanted.select(F.col("rep").alias("_want")).distinct()
+    texts = src.join(ids, src["_id"] == ids["_want"], "left_semi").select("_text")
+    found = texts.mapInArrow(_sets, "digest binary, shingles binary, wide binary")
+    found = found.join(wanted.select("cls", F.col("digest").alias("_own")), F.col("digest") == F.col("_own"))
+    return materialize(found.select("cls", "shingles", "wide").dropDuplicates(["cls"]), "sets")
 
 
-def _texts(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_want")).distinct()
-    return src.join(ids, src["_id"] == ids["_want"], "left_semi")
+def common(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many members of the sorted set x each of the non-empty sets has."""
+    every = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+    sizes = np.array([len(s) for s in sets])
+    return np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def _widen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("_wide_id", pa.int64()), ("wide", pa.list_(pa.int64()))])
-    hashes = WordHashes()
-    for batch in it:
-        yield from batches(((i, pack(minima(shingles(text, hashes), _WIDE_FACTORS))) for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)), schema, 2048)
+def _linked(x: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    both = common(x, sets)
+    return 100 * both >= percent * (len(x) + np.array([len(s) for s in sets]) - both)
 
 
-def _wide_signatures(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, wide: signatures of WIDE positions, as bit planes, of the texts with these ids."""
-    texts = src.join(ids, src["_id"] == ids["rep"], "left_semi").select("_id", "_text")
-    return texts.mapInArrow(_widen, "_wide_id long, wide array<long>").groupBy(F.col("_wide_id").alias("rep")).agg(F.first("wide").alias("wide"))
+def _verify(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            a, b = (batch.column(k).to_pylist() for k in range(2))
+            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(k).to_pylist()] for k in (2, 3))
+            ok = [n for n in range(len(a)) if _linked(x[n], [y[n]], percent)[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([v[n] for n in ok], pa.int64()) for v in (a, b)], schema=schema)
 
-def _wide_matches(a: str, b: str) -> Column:
-    """How many of the WIDE positions have equal low bits."""
-    words = WIDE // 64
-    total = F.lit(WIDE)
-    for w in range(words):
-        differ = None
-        for plane in range(LOW_BITS):
-            k = F.lit(plane * words + w)
-            x = F.get(f"{a}.wide", k).bitwiseXOR(F.get(f"{b}.wide", k))
-            differ = x if differ is None else differ.bitwiseOR(x)
-        total = total - F.bit_count(differ)
-    return total
+    return run
 
 
-def _leader(turn: int) -> Column:
-    """Aggregate: a bucket's member of the smallest hash in this turn."""
-    return F.min_by("rep", F.struct(F.xxhash64("rep", "bucket", F.lit(turn)), "rep"))
+def confirm(pairs: DataFrame, src: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: ids of those pairs (leader, cls), one a class, that reach the threshold on their full sets."""
+    both = pairs.select(F.explode(F.array("leader", "cls")).alias("_want")).distinct()
+    known = classes.select("cls", "rep", "digest")
+    wanted = materialize(known.join(both, known["cls"] == both["_want"], "left_semi"), "wanted")
+    sets = full_sets(src, wanted).join(wanted.select(F.col("cls").alias("_c"), "rep"), F.col("cls") == F.col("_c")).drop("_c", "wide")
+    one = sets.select(F.col("cls").alias("leader"), F.col("rep").alias("a"), F.col("shingles").alias("_x"))
+    other = sets.select("cls", F.col("rep").alias("b"), F.col("shingles").alias("_y"))
+    counts = pairs.groupBy("leader").agg(F.count("*").alias("k"))
+    joined = dealt_join(pairs, one, "leader", heavy(counts, "leader", "k", pairs.count()), ["cls"]).join(other, "cls")
+    return materialize(joined.select("a", "b", "_x", "_y").mapInArrow(_verify(percent), "a long, b long"), "links")
+
+
+def best_tries(buckets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """leader, cls: for each class the likeliest of its buckets' leaders."""
+    tries = materialize(buckets.where("leader <> cls").select("leader", "cls").distinct(), "tries")
+    x = signed.select(F.col("cls").alias("leader"), F.struct(*signed.columns).alias("x"))
+    y = signed.select("cls", F.struct(*signed.columns).alias("y"))
+    counts = tries.groupBy("leader").agg(F.count("*").alias("k"))
+    scored = dealt_join(tries, x, "leader", heavy(counts, "leader", "k", tries.count()), ["cls"]).join(y, "cls").where(_likely("x", "y", percent))
+    found = scored.groupBy("cls").agg(F.max_by("leader", F.struct(matches("x", "y").alias("m"), (-F.col("x.rep")).alias("r"), "leader")).alias("leader"))
+    return materialize(found.select("leader", "cls"), "first-pairs")
+
+
+def apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, cls, rep, c, outside: members of buckets in several components; all but the largest are outside."""
+    placed = buckets.select("bucket", "cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "cls", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = materialize(placed, "placed")
+    parts = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    sizes = parts.groupBy("bucket").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("_main"), F.count("*").alias("_parts_n"), F.sum("k").alias("_k")).where("_parts_n > 1").drop("_parts_n")
+    joined = dealt_join(placed, sizes.drop("_k"), "bucket", heavy(sizes, "bucket", "_k", placed.count()), ["cls"])
+    return joined.select("bucket", "cls", "rep", "c", (F.col("c") != F.col("_main")).alias("outside"))
+
+
+def in_slices(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """members with ``i``, ``j`` and ``role``, a row for each meeting of slices they take part in.
+
+    Outside members (role 1) of slice i meet all members (role 2) of slice j, for every i and j of their bucket;
+    role 3 is both.  A slice weighs about ``most``, so that a bucket in one slice, as nearly all are, is one
+    meeting of its members.
+    """
+    sizes = members.groupBy("bucket").agg(F.sum(weight).alias("_w"), F.sum(F.when(F.col("outside"), weight).otherwise(F.lit(0))).alias("_o"), F.count("*").alias("_k"))
+    slices = sizes.select("bucket", "_k", *(F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int").alias(n) for c, n in (("_o", "_ni"), ("_w", "_nj"))))
+    dealt = dealt_join(members, slices.drop("_k"), "bucket", heavy(slices, "bucket", "_k", members.count()), ["cls"])
+    own = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), n).cast("int")
+    meeting = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    ni, nj = F.col("_ni"), F.col("_nj")
+    as_left = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), nj - 1), lambda j: meeting(own(ni, 1), j, 1))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>"))
+    as_right = F.transform(F.sequence(F.lit(0), ni - 1), lambda i: meeting(i, own(nj, 2), 2))
+    both = F.array(meeting(F.lit(0), F.lit(0), 3))
+    meetings = F.when((ni == 1) & (nj == 1), F.when(F.col("outside"), both).otherwise(as_right)).otherwise(F.concat(as_left, as_right))
+    out = dealt.withColumn("_m", F.explode(meetings)).select(*members.columns, "_m.*")
+    return out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cls")
+
+
+def complete_groups(it: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucket", "i", "j")) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by the keys as tables of complete groups, with the groups' starts and the end."""
+    held: list[pa.RecordBatch] = []
+    size = load = 0
+
+    def cut(table: pa.Table) -> np.ndarray:
+        columns = [table.column(k).to_numpy() for k in keys]
+        fresh = np.zeros(max(table.num_rows - 1, 0), bool)
+        for c in columns:
+            fresh |= c[1:] != c[:-1]
+        return np.concatenate([[0], np.flatnonzero(fresh) + 1, [table.num_rows]])
 
+    for batch in it:
+        held.append(batch)
+        size, load = size + batch.num_rows, load + batch.nbytes
+        if size >= GATHER_ROWS or load >= GATHER_BYTES:
+            table = pa.Table.from_batches(held)
+            at = cut(table)
+            if len(at) > 2:
+                yield table.slice(0, int(at[-2])), at[:-1]
+                table = table.slice(int(at[-2])).combine_chunks()
+            held, size, load = table.to_batches(), 0, 0
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield table, cut(table)
+
+
+def _planes(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+
+
+def _equal(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """How many of ``size`` positions of one signature, or of rows of them, equal those of rows of others."""
+    words = size // 64
+    differ = x ^ y
+    folded = differ[..., :words].copy()
+    for plane in range(1, LOW_BITS):
+        folded |= differ[..., plane * words : (plane + 1) * words]
+    return size - np.bitwise_count(folded).sum(axis=-1, dtype=np.int64)
+
+
+def _flag(percent: int):
+    """Members with a likely partner of another component, once a meeting."""
+    schema = pa.schema([("bucket", pa.int64()), ("cls", pa.int64()), ("c", pa.int64()), ("outside", pa.bool_())])
+    least = least_matches(percent)
 
-def _best_tries(tries: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each member (b) the likeliest of the leaders (a) it is to be tried against."""
-    tries = tries.distinct()
-    x, y = signed.alias("x"), signed.alias("y")
-    scored = tries.join(x, F.col("x.rep") == tries["leader"]).join(y, (F.col("y.rep") == tries["rep"]) & _likely("x", "y", percent))
-    scored = scored.select(tries["leader"].alias("a"), tries["rep"].alias("b"), matches("x", "y").alias("m"))
-    return scored.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in complete_groups(it):
+            cls, c, n, role = (table.column(k).to_numpy() for k in ("cls", "c", "n", "role"))
+            planes, hit = _planes(table, PACKED), np.zeros(table.num_rows, bool)
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                left, right = (lo + np.flatnonzero(role[lo:hi] & r) for r in (1, 2))
+                for x in left.tolist():
+                    y = right[(c[right] != c[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+                    if len(y) and len(y := y[_equal(planes[x], planes[y], HASHES) >= least]):
+                        hit[x] = True
+                        hit[y] = True
+            keep = pa.array(hit)
+            yield from pa.Table.from_arrays([table.column(k).filter(keep) for k in schema.names], schema=schema).to_batches()
+
+    return run
 
 
-def _as_links(found: DataFrame) -> DataFrame:
-    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+def _link(percent: int):
+    """a, b: a forest of the confirmed links between the components that meet."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least, least_wide = least_matches(percent), least_matches(percent, size=WIDE)
+
+    def meet(rows: dict, lo: int, hi: int, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        cls, c, n, role, outside, bands, planes, wide = (rows[k] for k in ("cls", "c", "n", "role", "outside", "bands", "planes", "wide"))
+        bucket, forest = rows["bucket"][lo], Forest()
+        left, right = (lo + np.flatnonzero(role[lo:hi] & r) for r in (1, 2))
+        for x in left.tolist():
+            other = (c[right] != c[x]) & (~outside[right] | (cls[x] < cls[right]))
+            y = right[other & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+            y = y[_equal(planes[x], planes[y], HASHES) >= least]
+            sharp = _equal(wide[x], wide[y], WIDE)
+            y, sharp = y[sharp >= least_wide], sharp[sharp >= least_wide]
+            # A pair is made in the first of its common bands alone.
+            same = bands[y] == bands[x]
+            mine = bands[x][same.argmax(axis=1)] == bucket
+            y = y[mine][np.argsort(-sharp[mine], kind="stable")]
+            step = 8
+            while len(y):  # likeliest first; what is linked meanwhile needs no look
+                y = y[[forest.root(int(v)) != forest.root(int(c[x])) for v in c[y]]]
+                now, y = y[:step], y[step:]
+                if len(now):
+                    for k in now[_linked(sets[x], [sets[k] for k in now.tolist()], percent)].tolist():
+                        if forest.join(int(c[x]), int(c[k])):
+                            yield int(c[x]), int(c[k])
+                step *= 8
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in complete_groups(it):
+            rows = {k: table.column(k).to_numpy() for k in ("bucket", "cls", "c", "n", "role", "outside")}
+            rows["planes"] = _planes(table, PACKED)
+            rows["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            rows["wide"] = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE * LOW_BITS // 64)
+            sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+            found = [link for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for link in meet(rows, lo, hi, sets)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], schema=schema)
 
-def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """bucket, rep, c, main: members of buckets whose members are in several components, main being the largest."""
-    placed = buckets.select("bucket", "rep").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"), F.count("*").alias("parts"))
-    return placed.join(sizes.where("parts > 1").drop("parts"), "bucket")
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable) and kept (whether that is itself)."""
     src = two(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
     feats = materialize(src.mapInArrow(_featurise, FEATURES_DDL), "features")
-    classes = feats.where("digest is not null").groupBy(F.col("digest").alias("_digest")).agg(F.min("_id").alias("rep"))
-    members = materialize(feats.select("_id", "n", "digest").join(classes, F.col("digest") == F.col("_digest"), "left").select("_id", "n", "digest", "rep"), "members")
-    own = members.where("_id = rep").select(F.col("digest").alias("_own"), "rep").distinct()
-    reps = feats.join(own, (F.col("digest") == F.col("_own")) & (F.col("_id") == F.col("rep"))).select("rep", "n", *PACKED, "bands")
-    signed = reps.select("rep", "n", *PACKED)
-
-    # Buckets of at least two classes, each with a leader of its own: many leaders give a member many chances.
-    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.min("rep").alias("_first"), F.max("rep").alias("_last")).where("_first < _last").select("bucket")
-    buckets = materialize(exploded.join(shared, "bucket"), "buckets")
-    leaders = buckets.groupBy("bucket").agg(_leader(0).alias("leader"))
-
-    # Links by definition: texts of one id.
-    same = members.where("rep is not null").groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("_all")).where("a < b").select("a", F.explode("_all").alias("b")).where("a <> b")
-
-    # Every member against the likeliest of its buckets' leaders.
-    first = materialize(_best_tries(buckets.join(leaders, "bucket").where("rep <> leader").select("leader", "rep"), signed, percent), "first-pairs")
-    found = components(same.unionByName(confirm(first, src, percent)))
-
-    # Then everyone outside a bucket's largest component against a leader of that component, a few times.
-    for turn in range(1, STAR_ROUNDS + 1):
-        apart = materialize(_apart(buckets, found), "apart")
-        chiefs = apart.where("c = main").groupBy("bucket").agg(_leader(turn).alias("leader"))
-        tries = apart.where("c <> main").join(chiefs, "bucket").select("leader", "rep")
-        pairs = materialize(_best_tries(tries, signed, percent), "star-pairs")
-        if pairs.isEmpty():
-            break
-        found = components(_as_links(found).unionByName(confirm(pairs, src, percent)))
-
-    # What is still apart is tried exhaustively: outside members against all of other components.  A pair is made
-    # in the least of its common buckets alone, and only if its sizes and both signatures find it likely.
-    apart = _apart(buckets, found)
-    wide = _wide_signatures(src, materialize(apart.select("rep").distinct(), "apart-ids"))
-    apart = materialize(apart.join(reps.select("rep", "n", "bands", *PACKED), "rep").join(wide, "rep"), "apart")
-    x, y = apart.where("c <> main").alias("x"), apart.alias("y")
-    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    sharp = _wide_matches("x", "y")
-    likely = _likely("x", "y", percent) & (sharp >= least_matches(percent, size=WIDE)) & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
-    rest = x.join(y, differ & likely).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), sharp.alias("m"))
-    rest = materialize(rest, "rest-pairs")
-    for best_only in (True, False):
-        ca, cb = (found.select(F.col("node").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
-        now = rest.join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left")
-        now = now.select("a", "b", "m", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        if best_only:
-            now = now.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("best")).select("best.a", "best.b")
-        now = materialize(now.select("a", "b"), "later-pairs")
-        if now.isEmpty():
-            break
-        found = components(_as_links(found).unionByName(confirm(now, src, percent)))
+    classes = feats.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("n", *PACKED, "bands")).alias("_f"))
+    classes = materialize(classes.select("digest", "rep", "copies", "_f.*").withColumn("cls", F.monotonically_increasing_id()), "classes")
+    copies = heavy(classes, "digest", "copies", feats.count())
+    members = materialize(dealt_join(feats.select("_id", "n", "digest"), classes.select("digest", "rep"), "digest", copies, ["_id"], "left").drop("digest"), "members")
+    signed = classes.select("cls", "rep", "n", *PACKED)
+
+    # Buckets of at least two classes, each with the class of the smallest hash as its leader.
+    exploded = classes.select("cls", "rep", F.explode("bands").alias("bucket"))
+    heads = exploded.groupBy("bucket").agg(F.count("*").alias("_k"), F.min_by("cls", F.struct(F.xxhash64("rep", "bucket"), "cls")).alias("leader")).where("_k > 1")
+    heads = materialize(heads, "heads")
+    buckets = materialize(dealt_join(exploded, heads.drop("_k"), "bucket", heavy(heads, "bucket", "_k", exploded.count()), ["cls"]), "buckets")
+
+    # Links by definition: texts of one id.  Then every class against the likeliest of its buckets' leaders.
+    several = members.where("rep is not null").groupBy("_id").agg(F.min("rep").alias("_low"), F.max("rep").alias("_high"), F.count("*").alias("_k")).where("_low < _high")
+    several = materialize(several, "several")
+    same = dealt_join(members.where("rep is not null"), several.drop("_high", "_k"), "_id", heavy(several, "_id", "_k", members.count()), ["rep"]).select(F.col("_low").alias("a"), F.col("rep").alias("b"))
+    found = components(same.unionByName(confirm(best_tries(buckets, signed, percent), src, classes, percent)))
+
+    # What is still apart: first by signatures, then on full sets.
+    open_ = materialize(apart(buckets, found).join(signed.drop("rep"), "cls"), "apart")
+    flagged = in_slices(open_.drop("rep"), F.lit(1), SLICE_ROWS).mapInArrow(_flag(percent), "bucket long, cls long, c long, outside boolean")
+    flagged = materialize(flagged.distinct(), "flagged")
+    known = classes.select("cls", "rep", "digest", "n", *PACKED, "bands")
+    wanted = materialize(known.join(flagged.select(F.col("cls").alias("_w")).distinct(), F.col("cls") == F.col("_w"), "left_semi"), "wanted")
+    sets = full_sets(src, wanted.select("cls", "rep", "digest"))
+    rich = materialize(flagged.join(wanted.drop("rep", "digest"), "cls").join(sets, "cls"), "open-sets")
+    links = in_slices(rich, F.col("n") * 8 + 1024, SLICE_BYTES).mapInArrow(_link(percent), "a long, b long")
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     out = members.join(found, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "_id")

@@ -92,6 +92,72 @@ def test_near_dedup(docs, texts, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+        out.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def groups_of(ids, sets):
+    """Smallest id reachable, by trying all pairs; documents are named by their ids, which may repeat."""
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for n, (i, x) in enumerate(zip(ids, sets, strict=True)):
+        for j, y in zip(ids[:n], sets[:n], strict=True):
+            if (both := len(x & y)) and 100 * both >= 75 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: root(i) for i in ids}
+
+
+def loose_groups(rng):
+    """Bodies whose copies differ by growing shares of their words, so that some link, some link by others alone and some don't."""
+    rows = []
+    for body in range(2):
+        words = [f"b{body}w{rng.randint(0, 400)}" for _ in range(150)]
+        rows += [" ".join(f"x{rng.randint(0, 10**6)}" if rng.random() < n / 1200 else w for w in words) for n in range(70)]
+    rows += [rows[3]] * 20 + [f"{rows[5]} {rows[90]}", " ".join(f"{w}!" for w in rows[0].split()) * 30]
+    return rows
+
+
+@pytest.mark.parametrize("small_slices", [False, True])
+def test_near_dedup_of_loose_groups(spark, monkeypatch, small_slices):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import common
+
+    if small_slices:
+        for module, name, value in ((near_dedup, "SLICE_ROWS", 12), (near_dedup, "SLICE_BYTES", 40_000), (common, "HEAVY_ROWS", 6)):
+            monkeypatch.setattr(module, name, value)
+    rows = list(enumerate(loose_groups(random.Random(11)), 100))
+    rows += [(100, rows[100][1]), (7, rows[40][1]), (7, rows[120][1]), (7, rows[40][1])]  # ids of several texts
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None)], "doc_id long, text string").repartition(4)
+    want = groups_of([i for i, _ in rows], shingle_sets([t for _, t in rows]))
+    assert 4 < Counter(want.values()).most_common(1)[0][1] and sum(want[i] == i for i in want) > 20
+    got = near_dedup.near_duplicates(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter([*(i for i, _ in rows), None, None])
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert all(r.kept == (r.doc_id is None or r.component_id == r.doc_id) for r in got) and all(r.component_id is None for r in got if r.doc_id is None)
+    assert near_dedup.near_duplicates(df.where("doc_id = 100").withColumn("bucket", F.lit(1)).withColumn("cls", F.lit(None))).count() == 2
+
+
+def test_complete_groups_are_never_cut(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "GATHER_ROWS", 7)
+    keys = [k for k, n in enumerate((1, 30, 2, 2, 5, 1, 9)) for _ in range(n)]
+    batches = [pa.RecordBatch.from_pydict({"bucket": keys[a : a + 4], "i": [0] * len(keys[a : a + 4])}) for a in range(0, len(keys), 4)]
+    found = [t.column("bucket").to_pylist()[a:b] for t, at in near_dedup.complete_groups(iter(batches), ("bucket", "i")) for a, b in zip(at, at[1:], strict=False)]
+    assert found == [[k] * keys.count(k) for k in range(7)]
+
+
 def test_bit_estimate_is_close():
     import numpy as np
 
