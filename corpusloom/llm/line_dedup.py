@@ -3,13 +3,14 @@
 Pass 1 reads every line once and fills, per task, a filter of hashes seen once and one of hashes seen
 twice.  Task filters merge in a tree over fixed segments: a bit is "twice" if either side has it twice or
 both sides have it once.  Pass 2 sends only lines whose hash may have been seen twice to a shuffle, where
-128-bit hashes are counted exactly and the holder that keeps the line is chosen.  Filters have a fixed
-size (``log2_bits``); beyond their capacity more lines are suspected, the result stays the same.
-
-Defined cases.  A null or empty text is one empty line.  Rows count as documents each, also when they
-share a doc_id.  A null doc_id is less than any other; a line found only in rows of null doc_id stays in
-all of them.  Rows that share the largest doc_id all keep the line.  An empty table gives an empty table.
-Columns besides id and text are not read.
+128-bit hashes are counted exactly and the holder that keeps the line is chosen.  Filters get BITS_A_LINE bits for
+each line that is long enough, up to 2 ** MOST_LOG2_BITS in all; beyond that more lines are suspected, and
+the result stays the same.  A line of very many documents is counted map-side and its suspects are dealt over tasks.
+
+Defined cases.  A null or empty text is one empty line.  Rows that share a doc_id are one document: they count
+once, and if theirs is the largest id holding a line, all of them keep it.  A null doc_id is no document: it
+doesn't count, and its rows lose the lines that go.  A very long text or line is read whole.  An empty table gives an
+empty table.  Columns besides id and text are not read; ``replace_text`` carries them along, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, batches, materialize, two
+from corpusloom.llm.common import as_bytes, batches, dealt_join, fresh, heavy, materialize, two
 
 #: Bits of a filter that travel together, as a power of two.
 SEGMENT = 16
 HASHES = 3
+BITS_A_LINE, LEAST_LOG2_BITS, MOST_LOG2_BITS = 10, 20, 30
 
 
 def line_keys(line: bytes, min_chars: int) -> bytes | None:
@@ -115,20 +117,31 @@ def _twice_filter(docs: DataFrame, min_chars: int, log2_bits: int, fan_in: int =
     return zlib.compress(bits.tobytes(), 1)
 
 
+def log2_bits_for(lines: int) -> int:
+    return min(MOST_LOG2_BITS, max(LEAST_LOG2_BITS, (BITS_A_LINE * lines - 1).bit_length()))
+
+
+def _long_lines(docs: DataFrame, min_chars: int) -> int:
+    """How many lines are long enough before they are stripped."""
+    lines = F.filter(F.split("_text", "\n"), lambda line: F.length(line) >= min_chars)
+    return docs.where(F.length("_text") >= min_chars).agg(F.sum(F.size(lines))).first()[0] or 0
+
+
 def _suspects(min_chars: int, log2_bits: int, packed):
-    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.binary())])
+    schema = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("_hash", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(zlib.decompress(packed.value), np.uint8)
         for batch in it:
-            ids, found = [], []
-            for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            owner, found = [], []
+            for n, text in enumerate(as_bytes(batch.column(1))):
                 own = line_hashes(text, min_chars)
                 found += own
-                ids += [i] * len(own)
+                owner += [n] * len(own)
             if found:
                 keep = np.flatnonzero(holds(bits, positions(halves(found), log2_bits)))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), pa.array([found[k] for k in keep], pa.binary())], schema=schema)
+                rows = pa.array([owner[k] for k in keep], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array([found[k] for k in keep], pa.binary())], schema=schema)
 
     return run
 
@@ -160,32 +173,40 @@ def _cut(min_chars: int):
     return run
 
 
-def _with_drops(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, log2_bits: int) -> DataFrame:
-    """``docs`` with the column _drops: hashes of the lines that go from a row, or null."""
+def _with_drops(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, log2_bits: int | None, drops_col: str) -> DataFrame:
+    """``docs`` with the column ``drops_col``: hashes of the lines that go from a row, or null."""
     src = two(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    packed = docs.sparkSession.sparkContext.broadcast(_twice_filter(src, min_chars, log2_bits))
-    suspects = materialize(src.mapInArrow(_suspects(min_chars, log2_bits, packed), "_id long, _hash binary"), "line-suspects")
-    chosen = suspects.groupBy("_hash").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
-    drops = suspects.join(chosen, "_hash").where(~F.col("_id").eqNullSafe(F.col("_keeper"))).groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_hash").alias("_drops"))
-    return docs.join(drops, docs[id_col].cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, log2_bits: int = 27) -> DataFrame:
+    bits = log2_bits or log2_bits_for(_long_lines(src, min_chars))
+    packed = docs.sparkSession.sparkContext.broadcast(_twice_filter(src, min_chars, bits))
+    hashed = src.withColumn("_row", F.xxhash64("_text"))  # tells apart the texts of one id
+    suspects = materialize(hashed.mapInArrow(_suspects(min_chars, bits, packed), "_id long, _row long, _hash binary"), "line-suspects")
+    chosen = suspects.groupBy("_hash").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keeper"), F.count("*").alias("_k")).where(F.col("_n") >= min_docs)
+    chosen = materialize(chosen.drop("_n"), "line-keepers")
+    dealt = dealt_join(suspects, chosen.drop("_k"), "_hash", heavy(chosen, "_hash", "_k", suspects.count()), ["_id", "_row"])
+    gone = dealt.where(~F.col("_id").eqNullSafe(F.col("_keeper"))).groupBy("_id", "_row").agg(F.collect_set("_hash").alias("_drops"))
+    key, row = fresh(docs, "_drop_id", "_drop_row")
+    gone = gone.select(F.col("_id").alias(key), F.col("_row").alias(row), F.col("_drops").alias(drops_col))
+    same = docs[id_col].cast("long").eqNullSafe(gone[key]) & (F.xxhash64(docs[text_col].cast("string")) == gone[row])
+    return docs.join(gone, same, "left").drop(key, row)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, log2_bits: int | None = None) -> DataFrame:
     """Per row of ``docs``: id, n_lines, n_dropped and the kept text.
 
     Lines whose key has ``min_chars`` code points and occurs in ``min_docs`` documents go, except in the
     largest id holding them.
     """
-    joined = _with_drops(two(docs, id_col, text_col), "_id", "_text", min_chars, min_docs, log2_bits)
+    joined = _with_drops(two(docs, id_col, text_col), "_id", "_text", min_chars, min_docs, log2_bits, "_drops")
     return joined.select(F.col("_id").cast("long"), "_text", "_drops").mapInArrow(_cut(min_chars), "_id long, n_lines long, n_dropped long, kept string").withColumnRenamed("_id", id_col)
 
 
-def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", *, min_chars: int = 40, min_docs: int = 5, log2_bits: int = 27) -> DataFrame:
+def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", *, min_chars: int = 40, min_docs: int = 5, log2_bits: int | None = None) -> DataFrame:
     """``docs`` with the kept text in place of the text, and its length in ``chars_col`` where there is one.
 
     Rows that lose no line stay as they are, null texts included.
     """
-    joined = _with_drops(docs, id_col, text_col, min_chars, min_docs, log2_bits)
+    drops_col = fresh(docs, "_drops")[0]
+    joined = _with_drops(docs, id_col, text_col, min_chars, min_docs, log2_bits, drops_col)
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,4 +221,4 @@ def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     columns[chars] = pa.array([w if k is t else len(k) for w, k, t in zip(was, kept, texts, strict=True)], columns[chars].type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
-    return joined.select(*docs.columns, "_drops").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, drops_col).mapInArrow(run, docs.schema)

@@ -58,7 +58,7 @@ WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
 lines AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM docs),
 keyed AS (SELECT *, {_KEY} AS k FROM lines),
 hot AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-marked AS (SELECT d.doc_id, pos, line, h.k IS NOT NULL AND d.doc_id <> h.keeper AS gone FROM keyed d LEFT JOIN hot h ON d.k = h.k)
+marked AS (SELECT d.doc_id, pos, line, h.k IS NOT NULL AND d.doc_id IS DISTINCT FROM h.keeper AS gone FROM keyed d LEFT JOIN hot h ON d.k = h.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
@@ -100,7 +100,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    words = F.array_max(F.transform("passages", lambda p: p["words"]))
+    first = F.get(F.filter("passages", lambda p: p["words"] == words), F.lit(0))
+    longest = [first[c].alias(f"longest_{c}") for c in ("words", "item", "item_at", "at")]
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *longest)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
