@@ -51,25 +51,50 @@ def rows_of(df, docs=None):
 
 
 def test_line_dedup(docs, texts, empty):
-    got = rows_of(line_dedup.dedup_lines(docs, min_docs=5, log2_bits=18))
+    found = line_dedup.dedup_lines(docs, min_docs=5).collect()
     key = lambda line: lower(line.strip(" \t\n\r\x0b\x0c"))
     every = [*enumerate(texts), (None, texts[5]), (7, texts[7])]
     where: dict = {}
     for i, t in every:
         for k in {key(x) for x in (t or "").split("\n")}:
-            if len(k) >= 40:
-                where.setdefault(k, []).append(-1 if i is None else i)
+            if len(k) >= 40 and i is not None:
+                where.setdefault(k, set()).add(i)
     keeper = {k: max(v) for k, v in where.items() if len(v) >= 5}
     assert keeper
-    for i, t in enumerate(texts):
+    want = []
+    for i, t in every:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if keeper.get(key(x), i) == i]
-        assert (got[i].n_lines, got[i].n_dropped, got[i].kept) == (len(lines), len(lines) - len(kept), "\n".join(kept))
-    assert line_dedup.dedup_lines(empty, log2_bits=18).count() == 0
+        kept = [x for x in lines if key(x) not in keeper or keeper[key(x)] == i]
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in found) == Counter(want)
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+@pytest.mark.parametrize("heavy_rows", [2, 1000])
+def test_line_dedup_counts_ids_once(spark, monkeypatch, heavy_rows):
+    import duckdb
+
+    from corpusloom.llm import common, queries
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", heavy_rows)
+    a, b, c = "a" * 40, "b" * 45, "ß" * 40
+    rows = [*((1, f"{a}\n{k}") for k in range(4)), (2, a), *((10 + k, f"{b}\n {b.upper()}\t\n{c}") for k in range(5)), (14, b), (None, f"{b}\nx"), *((20 + k, "c" * 39 + "\n" + a) for k in range(2)), (3, "long " * 60_000 + "\n" + b)]
+    df = spark.createDataFrame([(i, t, "x", "y", 9) for i, t in rows], "doc_id long, text string, _drops string, _DROP_ID string, n_chars int")
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.dedup_lines(df).collect())
+    def cut(i, t):
+        kept = [x for x in t.split("\n") if not (x.strip().lower() == b and i != 14 or x == c and i != 14)]
+        return i, t.count("\n") + 1, t.count("\n") + 1 - len(kept), "\n".join(kept)
+    assert got == Counter(cut(i, t) for i, t in rows)
+    con = duckdb.connect()
+    con.register("documents", df.dropDuplicates(["doc_id"]).toPandas())
+    twin = Counter(con.sql(f"select doc_id, n_lines, n_dropped from ({queries.OP2_SQL})").fetchall())
+    assert twin == Counter((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df.dropDuplicates(["doc_id"])).collect())
+    out = line_dedup.replace_text(df)
+    assert out.schema == df.schema and Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, k) for i, _, _, k in got.elements())
 
 
 def test_replace_text_keeps_columns(docs):
-    out = line_dedup.replace_text(docs, log2_bits=18)
+    out = line_dedup.replace_text(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
     assert all(r.n_chars == len(r.text) for r in out.collect() if r.doc_id is not None and r.doc_id > 9 and r.text)
 
@@ -244,41 +269,69 @@ def test_pii_rows(docs, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
-@pytest.mark.parametrize("shard_words", [25, 1_000_000])
-def test_decontaminate(spark, docs, texts, empty, shard_words):
-    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
-    long = words(texts[9])
-    items = [(1, " ".join(long[30:52]).upper()), (2, " ".join(long[100:109])), (3, "one"), (4, None), (5, "!!"), (None, " ".join(long[31:45])), (1, "a b, c d")]
+def words_of(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+
+
+@pytest.mark.parametrize("shard_words, pass_bytes", [(25, 1 << 20), (1_000_000, 1 << 20), (60, 40)])
+def test_decontaminate(spark, monkeypatch, docs, texts, empty, shard_words, pass_bytes):
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
+    long = words_of(texts[9])
+    items = [(1, " ".join(long[30:52]).upper()), (2, " ".join(long[100:109])), (3, "one"), (4, None), (5, "!!"), (None, " ".join(long[31:45])), (1, "a b, c d"), (6, " ".join(long[200:230]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = rows_of(decontaminate.find_contamination(docs, bench, shard_words=shard_words))
+    found = decontaminate.find_contamination(docs, bench, shard_words=shard_words).collect()
     windows: dict = {}
     for i, t in items:
-        w = words(t)
+        w = words_of(t)
         for k in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[k : k + 10]), set()).add("null" if i is None else str(i))
-    for i, t in enumerate(texts):
-        w, hit, found = words(t), set(), set()
+    want = {}
+    for i, t in [*enumerate(texts), (None, texts[5])]:
+        w, hit, named = words_of(t), set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
                 if (x := tuple(w[k : k + n])) in windows:
                     hit.update(range(k, k + n))
-                    found |= windows[x]
-        assert (got[i].n_words, got[i].n_hit, got[i].items) == (len(w), len(hit), sorted(found)), i
+                    named |= windows[x]
+        want[i] = len(w), len(hit), sorted(named)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in found) == Counter((i, n, h, tuple(x)) for i, (n, h, x) in [*want.items(), (7, want[7])])
+    got = {r.doc_id: r for r in found}
     assert got[9].n_hit and got[3].n_hit and got[4].n_hit
-    kept = {r.doc_id for r in decontaminate.filter_contaminated(docs, bench).collect()}
-    assert kept == {None, *(i for i in got if not got[i].n_hit)}
+    for r in found:
+        own = words_of(texts[5 if r.doc_id is None else r.doc_id])
+        assert {p.item for p in r.passages} == set(r.items) and sum(b - a for a, b in zip(r.hit_spans[::2], r.hit_spans[1::2], strict=True)) == r.n_hit
+        for p in r.passages:
+            assert any(own[p["at"] : p["at"] + p["words"]] == words_of(t)[p["item_at"] :][: p["words"]] for i, t in items if p["item"] == ("null" if i is None else str(i)))
+    if shard_words > 25:
+        assert ("6", 0, 200, 30) in {(p["item"], p["item_at"], p["at"], p["words"]) for p in got[9].passages}
+    kept = Counter(r.doc_id for r in decontaminate.filter_contaminated(docs, bench).collect())
+    assert kept == Counter(i for i in [*want, 7] if not want[i][1])
+    assert decontaminate.filter_contaminated(docs, bench).columns == docs.columns
     assert decontaminate.find_contamination(empty, bench).count() == 0
-    assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0 or size(items) > 0").count() == 0
+    assert decontaminate.filter_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
-def test_longest_verbatim_match():
-    import numpy as np
-
-    block = decontaminate.make_blocks([("q", b" ".join(b"w%d" % k for k in range(40)))], 10)[0]
-    words = [b"w%d" % k for k in range(5, 33)] + [b"other"] + [b"w%d" % k for k in range(3, 18)]
-    flat = np.array([block.ids.get(w, 0) for w in words], np.uint16)
-    size, where = decontaminate.Shard(flat).longest(block)
-    assert size[5] == 28 and where[5] == 0 and size[3] == 15 and where[3] == 29 and size[39] == 0
+def test_longest_matches_over_shards(spark, docs, texts):
+    long = words_of(texts[9])
+    items = [(1, " ".join([*long[30:52], "new", *long[500:503]])), (2, texts[5]), (None, "nowhere one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.item, r.item_at): (r.words, r.doc_id, r["at"]) for r in decontaminate.longest_matches(docs, bench, shard_words=5000).collect()}
+    every = [(i, words_of(t)) for i, t in enumerate(texts)]
+    want = {}
+    for i, t in items:
+        w = words_of(t)
+        for k in range(len(w)):
+            best = (0, None, None)
+            for d, own in every:
+                for at in range(len(own)):
+                    n = 0
+                    while k + n < len(w) and at + n < len(own) and w[k + n] == own[at + n]:
+                        n += 1
+                    if n > best[0]:
+                        best = n, d, at
+            want["null" if i is None else str(i), k] = best
+    assert got == want and got["1", 0] == (22, 9, 30) and got["null", 0][0] == 0
 
 
 def test_media(docs, texts, empty):
