@@ -3,36 +3,76 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+#: Paths of scratch tables by owner.
+_TABLES: dict[str, list[str]] = {}
+_OWNER = threading.local()
+#: Lets shuffle files go as soon as the table they were made for is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and no other machine takes part."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         sc.setCheckpointDir(root)
     return root
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place for a table of the current owner."""
+    path = f"{scratch_root(spark)}/corpusloom-scratch/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(getattr(_OWNER, "name", ""), []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corpusloom-scratch/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, name)
+    with _cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables, once no live DataFrame reads them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Tables materialized inside belong to ``owner``; those that it had before are deleted first."""
+    release(spark, owner)
+    was = getattr(_OWNER, "name", "")
+    _OWNER.name = owner
+    try:
+        yield
+    finally:
+        _OWNER.name = was
+
+
+def release(spark: SparkSession, owner: str = "") -> None:
+    """Delete the scratch tables of an owner (of none, by default), once no live DataFrame reads them."""
+    for path in _TABLES.pop(owner, []):
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
