@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.scratch import materialize, release, scratch_root
+from corpusloom.sources.scratch import delete, materialize, new_path, owned, release, scratch_root
 
-__all__ = ["materialize", "release", "scratch_root"]
+__all__ = ["delete", "materialize", "new_path", "owned", "release", "scratch_root"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
