@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -40,7 +41,7 @@ DISCOUNT = 0.75
 BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 1_000_000
 #: Training occurrences from which an n-gram is kept, at every size of the corpus.
 MIN_COUNT = 2
-BUCKET_TOKENS, HOT_WORDS = 500_000, 200
+BUCKET_TOKENS, HOT_WORDS = 1_000_000, 200
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -158,6 +159,12 @@ def part_hash(context: np.ndarray, nth: np.ndarray) -> np.ndarray:
 WIDTH = {2: 6, 3: 5}  # bytes of the last word's hash
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order of first appearance, and each key's number among them."""
+    which, distinct = pd.factorize(keys)
+    return distinct, which
+
+
 class Grams:
     """The distinct n-grams of a block, ordered by the part of the context they are sent to."""
 
@@ -168,25 +175,30 @@ class Grams:
         del inside
         key = codes[self.at - 1] << 24 | codes[self.at]
         if order == 3:
-            pairs, which = np.unique(codes[self.at - 2] << 24 | codes[self.at - 1], return_inverse=True)
+            pairs, which = numbered(codes[self.at - 2] << 24 | codes[self.at - 1])
             key = which << 24 | codes[self.at]
             del which
-        distinct, self.which = np.unique(key, return_inverse=True)
+        distinct, which = numbered(key)
         del key
         before, last = distinct >> 24, hashes[distinct & 0xFFFFFF]
         if order == 3:
             a, b = hashes[pairs >> 24], hashes[pairs & 0xFFFFFF]
-            self.context, parts = pair_hash(a, b)[before], np.minimum(hot.parts_of(a), hot.parts_of(b))[before]
+            context, parts = pair_hash(a, b)[before], np.minimum(hot.parts_of(a), hot.parts_of(b))[before]
         else:
-            self.context, parts = hashes[before], hot.parts_of(hashes)[before]
-        part = part_hash(self.context, last % parts.astype(np.uint64))
+            context, parts = hashes[before], hot.parts_of(hashes)[before]
+        part = part_hash(context, last % parts.astype(np.uint64))
         by = np.argsort(part, kind="stable")
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        self.which = place[self.which]  # of each position
-        self.context, self.last, self.part = self.context[by], last[by] & np.uint64((1 << 8 * WIDTH[order]) - 1), part[by]
+        self.which = place[which]  # of each position
+        self.context, self.last, self.part = context[by], last[by] & np.uint64((1 << 8 * WIDTH[order]) - 1), part[by]
         bucket = (self.part >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        self.limits = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        self.buckets, starts = np.unique(bucket.astype(np.int64), return_index=True)  # in order, as the parts are
+        self.limits = np.append(starts, len(bucket))
+
+    def of(self, bucket: int) -> slice:
+        at = np.searchsorted(self.buckets, bucket)
+        return slice(self.limits[at], self.limits[at + 1])
 
 
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,13 +226,12 @@ def _send(order: int, hot, buckets: int):
                 g = Grams(order, codes, sizes, hashes, hot.value, buckets)
                 learn = np.repeat(np.array(row["learn"], bool), sizes)[g.at]
                 n = np.bincount(g.which[learn], minlength=len(g.part))
-                for b in range(buckets):
-                    x, y = g.limits[b : b + 2]
-                    if x < y:
-                        runs = _runs(g.part[x:y])
-                        starts = g.part[x:y][runs[:-1]]
-                        values = [row["block"], b, _planes(np.diff(starts, prepend=np.uint64(0))), _planes(np.diff(runs), 4), _planes(g.last[x:y], WIDTH[order]), _planes(n[x:y], 4)]
-                        yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), pa.array([b], pa.int32()), *(pa.array([v], pa.binary()) for v in values[2:])], ["block", "bucket", "parts", "runs", "last", "n"])
+                for b in g.buckets.tolist():
+                    own = g.of(b)
+                    runs = _runs(g.part[own])
+                    starts = g.part[own][runs[:-1]]
+                    values = [_planes(np.diff(starts, prepend=np.uint64(0))), _planes(np.diff(runs), 4), _planes(g.last[own], WIDTH[order]), _planes(n[own], 4)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([b], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["block", "bucket", "parts", "runs", "last", "n"])
 
     return run
 
@@ -236,28 +247,27 @@ def _sum(order: int, least: float, split):
         blocks = rows.column("block").to_pylist()
         read = lambda name, width: [_from_planes(v, width) for v in rows.column(name).to_pylist()]
         lengths = [r.astype(np.int64) for r in read("runs", 4)]
-        starts = [np.cumsum(d) for d in read("parts", 8)]
-        part = np.concatenate([np.repeat(s, r) for s, r in zip(starts, lengths, strict=True)])
+        starts = np.concatenate([np.cumsum(d) for d in read("parts", 8)])
+        every = np.concatenate(lengths)
+        contexts, run = numbered(starts)  # of each run of n-grams with one context
+        context = np.repeat(run, every)
         last, n = np.concatenate(read("last", WIDTH[order])), np.concatenate(read("n", 4)).astype(np.int64)
-        by = np.lexsort((last, part))
-        p, w = part[by], last[by]
-        fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])
-        heads = np.flatnonzero(fresh)
-        total = np.add.reduceat(n[by], heads)
+        which = numbered(pair_hash(np.repeat(starts, every), last))[1]
+        total = np.bincount(which, weights=n).astype(np.int64)
         total[total < least] = 0
-        whole = np.empty(len(by), np.int64)
-        whole[by] = total[np.cumsum(fresh) - 1]
-        runs = _runs(p[heads])
-        contexts, sums, kinds = p[heads][runs[:-1]], np.add.reduceat(total, runs[:-1]), np.add.reduceat((total > 0).astype(np.int64), runs[:-1])
-        out, at = [], 0
+        own = np.empty(len(total), np.int64)
+        own[which] = context  # of each distinct n-gram
+        sums = np.bincount(own, weights=total, minlength=len(contexts)).astype(np.int64)
+        kinds = np.bincount(own[total > 0], minlength=len(contexts))
+        out, at, at_run = [], 0, 0
         pack = lambda x: zlib.compress(_planes(x), 1)
-        for block, s, r in zip(blocks, starts, lengths, strict=True):
-            size, own = int(r.sum()), np.searchsorted(contexts, s)
-            out.append((block, order, bucket, pack(whole[at : at + size]), pack(sums[own]), pack(kinds[own])))
-            at += size
+        for block, r in zip(blocks, lengths, strict=True):
+            size, seen = int(r.sum()), run[at_run : at_run + len(r)]
+            out.append((block, order, bucket, pack(total[which[at : at + size]]), pack(sums[seen]), pack(kinds[seen])))
+            at, at_run = at + size, at_run + len(r)
         parts = split.value[0]
-        if (own := np.flatnonzero(np.isin(contexts, parts))).size:
-            out.append((-1, order, bucket, pack(contexts[own]), pack(sums[own]), pack(kinds[own])))
+        if (seen := np.flatnonzero(np.isin(contexts, parts))).size:
+            out.append((-1, order, bucket, pack(contexts[seen]), pack(sums[seen]), pack(kinds[seen])))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(COUNTED)], schema=COUNTED)
 
     return run
@@ -355,10 +365,10 @@ def _walk(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, word_counts:
         g = Grams(n, codes, sizes, hashes, hot, buckets)
         totals, sums, kinds = (np.zeros(len(g.part), np.int64) for _ in range(3))
         for bucket, *data in found.get(n, ()):
-            x, y = g.limits[bucket : bucket + 2]
-            lengths = np.diff(_runs(g.part[x:y]))
-            totals[x:y] = _unpack(data[0])
-            sums[x:y], kinds[x:y] = (np.repeat(_unpack(d), lengths) for d in data[1:])
+            own = g.of(bucket)
+            lengths = np.diff(_runs(g.part[own]))
+            totals[own] = _unpack(data[0])
+            sums[own], kinds[own] = (np.repeat(_unpack(d), lengths) for d in data[1:])
         keys, all_sums, all_kinds = split[n]
         if len(keys):
             at = np.minimum(np.searchsorted(keys, g.context), len(keys) - 1)
