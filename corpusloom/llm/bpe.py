@@ -9,8 +9,9 @@ known to lead nowhere are marked, so a word takes linear time, however long it i
 The tokenizer file gives vocabulary, merges, normalisers and the split pattern; it is only read.
 
 Defined cases.  Null is empty; an empty text has no tokens and decodes to the empty string.  Texts of any
-length are encoded whole.  Strings of special tokens become those tokens, as in the library.  Rows are
-independent: repeated ids and other columns don't matter.
+length are encoded whole.  Strings of special tokens become those tokens, as in the library; of those that begin
+at one place the longest counts.  Rows are independent: repeated rows, null ids and other columns don't matter.  An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -61,6 +62,19 @@ def character_classes() -> dict[str, str]:
     return found
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> list[tuple[int, int]]:
+    """Ranges of code points that Python's character tables don't have."""
+    runs: list[tuple[int, int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1] = runs[-1][0], c
+            else:
+                runs.append((c, c))
+    return runs
+
+
 class _Kept(dict):
     """word -> what ``make`` gives for it; forgets all at a bounded number of words."""
 
@@ -130,6 +144,8 @@ class BacktrackingBPE:
         # Python's engine is several times faster with classes inside the basic plane, which hold for texts inside it.
         basic = {k: "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", v) if r < r"\U00010000") for k, v in c.items()}
         self.basic_words = re.compile(pattern.format_map(basic)).findall
+        # Characters younger than Python's tables, which the library may know how to compose and lower-case.
+        self.unknown = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned()) + "]").search
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
@@ -200,10 +216,15 @@ class BacktrackingBPE:
         return np.array(self.encode_word(raw[:-1] + chr(ord(raw[-1]) + LAST)), "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:
-            text = text.replace("Σ", "σ")  # lower-casing is by character, with no final sigma
-        text = text.lower()
+        if not text.isascii() and self.unknown(text):
+            from tokenizers.normalizers import NFC, Lowercase
+
+            text = Lowercase().normalize_str(NFC().normalize_str(text))
+        else:
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:
+                text = text.replace("Σ", "σ")  # lower-casing is by character, with no final sigma
+            text = text.lower()
         return self.words(text) if self.beyond(text) else self.basic_words(text)
 
     def encode(self, text: str) -> tuple[bytes, str]:
