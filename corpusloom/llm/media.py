@@ -6,7 +6,8 @@ that follow, and each pair (first bin, second bin, frames between) becomes a cod
 
 Defined cases.  Null is empty; the payload of an empty text is 64 zero bytes, whose silence has no peaks
 and so no pairs.  Equal texts have equal media and fingerprints.  Very long texts are transformed in slices of
-frames, whole.  Rows are independent, so repeated ids and further columns don't matter.
+frames, whole.  Equal peaks: the lower bin first; equally near partners: the stronger peak first.  Rows are independent,
+so repeated rows, null ids and further columns don't matter.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def peaks(magnitudes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes): pairs of peaks of one frame, and of frames at most AHEAD apart, the FAN nearest for each first peak."""
+    """(times, codes): pairs of peaks of one frame, and of frames at most AHEAD apart: for each first peak its FAN nearest partners that are there."""
     bins = np.concatenate([peaks(m) for m in spectrogram(np.frombuffer(samples, np.uint8))])
     frames = len(bins)
     times, codes, ranks = [], [], []
@@ -78,20 +79,18 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
             times.append(ok)
             codes.append(bins[ok, first] << 12 | bins[ok, second] << 4)
             ranks.append(np.full(len(ok), first * PEAKS + second - PEAKS * PEAKS))
-    rank = 0
-    for ahead in range(1, AHEAD + 1):
-        if ahead >= frames or rank >= FAN:
+    paired = np.zeros((PEAKS, frames), np.int64)  # partners of each first peak so far
+    for ahead in range(1, min(AHEAD, frames - 1) + 1):
+        if not ((paired < FAN) & (bins.T >= 0)).any():
             break
         for second in range(PEAKS):
-            if rank >= FAN:
-                break
+            there = bins[ahead:, second] >= 0
             for first in range(PEAKS):
-                a, b = bins[:-ahead, first], bins[ahead:, second]
-                ok = np.flatnonzero((a >= 0) & (b >= 0))
+                ok = np.flatnonzero(there & (bins[:-ahead, first] >= 0) & (paired[first, :-ahead] < FAN))
+                paired[first, ok] += 1
                 times.append(ok)
-                codes.append(a[ok] << 12 | b[ok] << 4 | ahead)
-                ranks.append(np.full(len(ok), rank * PEAKS + first))
-            rank += 1
+                codes.append(bins[ok, first] << 12 | bins[ok + ahead, second] << 4 | ahead)
+                ranks.append(np.full(len(ok), (ahead * PEAKS + second) * PEAKS + first))
     t, c, r = (np.concatenate(x) for x in (times, codes, ranks))
     order = np.lexsort((r, t))
     return t[order], c[order]
