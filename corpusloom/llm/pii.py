@@ -11,11 +11,15 @@ within a kind; a find that fails its check is dropped and not retried:
     phone  \\+[0-9][\\x20().0-9-]+[0-9], 9 to 15 digits
 
 Two more kinds are added beside them: ``url`` (scheme up to white space, quotes or angle brackets, less
-closing punctuation, with a host) and ``account`` (an identifier cue as a word of its own, up to twelve
-separating characters, then a run of at least six letters, digits, blanks or hyphens with four digits or more).
-
-Defined cases.  Null is empty; an empty text has no spans.  Offsets are code points, end exclusive.  Rows are
-independent, so repeated ids and further columns don't matter.
+closing punctuation, with a host) and ``account`` (an identifier cue as a word of its own, up to 24 characters of
+separators and filler words such as ``number`` or ``is``, then a run of at least six letters, digits, blanks or
+hyphens that begins and ends with one of the first two, has a digit in each blank-separated group and four in all).
+What begins like an IBAN is taken as far as its checksum (ISO 13616, mod 97) holds; without one it is no account
+after the cue ``iban``, and a run like others after other cues.
+
+Defined cases.  Null is empty; an empty text has no spans.  Offsets are code points, end exclusive.  Texts of any
+length are read whole.  Of cues at one place the longest counts.  Rows are independent, so repeated rows, null ids and
+further columns don't matter.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ KINDS = (*BASE, "url", "account")
 #: Address schemes and identifier cues, lower case.
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "mailto:", "tel:")
 CUES = ("account", "acct", "iban", "bic", "swift", "routing", "passport", "ssn", "social security", "tax id", "vat", "license", "licence", "member id", "customer id", "user id", "patient id", "konto", "compte", "cuenta")
+FILLERS = ("number", "num", "no", "nr", "nummer", "numéro", "número", "is", "ist", "est", "es", "code", "id")
 DIGITS = frozenset("0123456789")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
@@ -154,21 +159,62 @@ def urls(text: str, schemes: list[tuple[int, int]]) -> Iterator[Span]:
             free = end
 
 
+def _after_fillers(text: str, at: int, most: int = 24) -> int:
+    """The place behind separators and filler words."""
+    n, first = len(text), at
+    while at < n and at - first < most:
+        if text[at] in " \t:#=.-":
+            at += 1
+            continue
+        end = at
+        while end < n and text[end].isalpha() and end - at < 8:
+            end += 1
+        if text[at:end].lower() not in FILLERS or end < n and text[end].isdigit():
+            break
+        at = end
+    return at
+
+
+def _iban(text: str, at: int) -> int:
+    """Where the longest IBAN that begins here ends, or ``at``."""
+    n, end, best, clean = len(text), at, at, ""
+    while end < n and len(clean) < 34:
+        c = text[end]
+        if c in " -" and clean and end + 1 < n and text[end + 1] in HOST and text[end - 1] not in " -":
+            end += 1
+            continue
+        if not (c.isascii() and c.isalnum()):
+            break
+        clean += c.upper()
+        end += 1
+        whole = end == n or not text[end].isalnum()
+        if whole and len(clean) >= 15 and int("".join(str(int(d, 36)) for d in clean[4:] + clean[:4])) % 97 == 1:
+            best = end
+    return best
+
+
 def accounts(text: str, cues: list[tuple[int, int]]) -> Iterator[Span]:
     free, n = 0, len(text)
     for start, after in cues:
         if start < free or start and text[start - 1].isalnum() or after < n and text[after].isalpha():
             continue
-        at = after
-        while at < n and at - after < 12 and text[at] in " \t:#=.-" or at < n and text[at : at + 2].lower() == "no" and at - after < 12:
-            at += 2 if text[at : at + 2].lower() == "no" else 1
-        end, digits = at, 0
+        at = _after_fillers(text, after)
+        head = text[at : at + 4]
+        if len(head) == 4 and head[:2].isascii() and head[:2].isalpha() and head[2] in DIGITS and head[3] in DIGITS:
+            end = _iban(text, at)
+            if end > at:
+                yield "account", at, end
+                free = end
+                continue
+            if text[start:after].lower() == "iban":
+                continue
+        end = at
         while end < n and (text[end] in HOST or text[end] == " " and end + 1 < n and text[end + 1] in DIGITS):
-            digits += text[end] in DIGITS
             end += 1
         while end > at and text[end - 1] in " -":
             end -= 1
-        if end - at >= 6 and digits >= 4:
+        found = text[at:end]
+        if end - at >= 6 and sum(c in DIGITS for c in found) >= 4 and all(any(c in DIGITS for c in g) for g in found.split(" ")):
             yield "account", at, end
             free = end
 
