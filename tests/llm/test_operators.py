@@ -28,6 +28,7 @@ def texts():
     shared = [line(12) for _ in range(3)]
     base = line(60)
     out = [None, "", "   \n\t ", "one", "a b c d", base, base, base.replace("x1", "x2", 1), base + "\nend", line(4000)]
+    out.append(line(60_000))  # very long
     for n in range(40):
         parts = [line(rng.randint(1, 14)) for _ in range(rng.randint(1, 6))]
         out.append("\n".join([*parts, " " + shared[n % 3].upper() + "\t"] if n % 2 else parts))
@@ -41,13 +42,30 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def every(texts):
+    """(id, text) of every row of ``docs``: a null id and an id of two equal rows among them."""
+    return [*enumerate(texts), (None, texts[5]), (7, texts[7])]
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def rows_of(df, docs=None):
-    return {r.doc_id: r for r in df.collect() if r.doc_id is not None}
+def rows_of(df):
+    """Rows by their ids, which must be unique."""
+    rows = df.collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    return {r.doc_id: r for r in rows}
+
+
+def in_order(df):
+    return sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+
+
+def in_order_of_ids(every):
+    return sorted(every, key=lambda e: (e[0] is None, e[0]))
 
 
 def test_line_dedup(docs, texts, empty):
@@ -99,21 +117,12 @@ def test_replace_text_keeps_columns(docs):
     assert all(r.n_chars == len(r.text) for r in out.collect() if r.doc_id is not None and r.doc_id > 9 and r.text)
 
 
-def test_near_dedup(docs, texts, empty):
-    def shingles(t):
-        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [shingles(t) for t in texts]
-    reach = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(i):
-            if (both := len(sets[i] & sets[j])) and 100 * both >= 75 * len(sets[i] | sets[j]):
-                low, high = sorted((reach[i], reach[j]))
-                reach = [low if r == high else r for r in reach]
-    got = rows_of(near_dedup.near_duplicates(docs))
-    for i in range(len(sets)):
-        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), reach[i], reach[i] == i), i
+def test_near_dedup(docs, texts, every, empty):
+    sets = shingle_sets(texts)
+    want = groups_of(range(len(texts)), sets)
+    got = near_dedup.near_duplicates(docs).collect()
+    rows = [(i, len(sets[5 if i is None else i]), None if i is None else want[i], i is None or want[i] == i) for i, _ in every]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(rows)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
@@ -197,7 +206,7 @@ def test_bit_estimate_is_close():
     assert equal >= near_dedup.least_matches(75)
 
 
-def test_language_id(docs, empty, spark):
+def test_language_id(docs, every, empty, spark):
     from pyspark.sql import functions as F
 
     fr, en = "le chat est sur la table avec une pomme et des amis", "the cat is on the table with an apple and some friends"
@@ -206,14 +215,60 @@ def test_language_id(docs, empty, spark):
     model = language_id.fit(train, F.col("doc_id") < 40)
     got = rows_of(language_id.identify(train, model))
     assert all(got[i].lang_pred == ("fr" if i % 2 else "en") and 0 <= got[i].score <= 1 and not got[i].rejected for i in range(60))
-    other = rows_of(language_id.identify(docs, model))
-    assert other[0].lang_pred == other[1].lang_pred == other[2].lang_pred == "und" and other[0].rejected
+    other = in_order(language_id.identify(docs, model))
+    assert [(r.doc_id, r.lang_pred, pytest.approx(r.score), r.rejected) for r in other] == [(i, *p) for i, p in zip([i for i, _ in in_order_of_ids(every)], language_id.predict(model, [t for _, t in in_order_of_ids(every)]), strict=True)]
+    assert [r.lang_pred for r in other[:3]] == ["und"] * 3 and other[0].rejected and other[0].score == 0
     assert language_id.filter_rejected(train, model).count() == 60
     assert language_id.identify(train, language_id.fit(empty, F.lit(True))).where("lang_pred = 'und' and score = 0").count() == 60
     odd = spark.createDataFrame([(1, "Съешь же ещё этих мягких французских булок", None, None, None, None, None, None)], DOCS)
     assert language_id.identify(odd, model).first().rejected
 
 
+def brute_vector(text, idf):
+    """Features of a text by a dictionary of its n-grams."""
+    import numpy as np
+
+    chars = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    chars = re.sub("^ +", " ", chars)
+    grams = Counter(chars[k : k + n] for n in (1, 2, 3) for k in range(max(0, len(chars) - n + 1)) if not (k == 0 and n == 1))
+    counts = np.zeros(language_id.DIMS)
+    for g, k in grams.items():
+        code = 0
+        for c in g:
+            code = code << 21 | ord(c)
+        h = (code + ((len(g) - 1) << 62 >> 1)) & (2**64 - 1)
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & (2**64 - 1)
+        counts[(h ^ h >> 31) >> 51] += k
+    v = np.log1p(counts) * idf
+    return v / np.linalg.norm(v)
+
+
+def test_language_id_against_brute_force(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    pool = ["été", "chat", "the", "Straße", "niño", "12", "x!y", "ÇA", "漢字", "ʼn", "a\n\nb", "🙂", "  "]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(60)]
+    whole = [language_id.gram_counts(t) for t in texts]
+    texts, whole = zip(*((t, c) for t, c in zip(texts, whole, strict=True) if c is not None), strict=True)
+    rows = [("ab"[k % 2], k, c) for k, c in enumerate(whole[:40])]
+    model = language_id.train(rows, clusters=3)
+    for t, c in zip(texts, whole, strict=True):
+        v = brute_vector(t, model.idf)
+        assert np.allclose(language_id.vectors(c[None], model.idf)[0], v, atol=1e-6)
+        cos = model.centroids @ v
+        lang, score, rejected = language_id.predict(model, [t])[0]
+        best = int(np.argmax(cos))
+        assert score == pytest.approx(float(cos[best]), abs=1e-5) and (lang == model.languages[model.owner[best]] or abs(np.sort(cos)[-1] - np.sort(cos)[-2]) < 1e-5)
+    long = "  ".join(texts) * 3
+    want = language_id.gram_counts(long)
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        assert (language_id.gram_counts(long) == want).all(), size
+    assert language_id.gram_counts("12 !") is None and language_id.gram_counts("") is None
+
+
 def test_language_id_rejects_foreign_and_random_text(spark):
     import base64
 
@@ -263,9 +318,25 @@ def test_pii_matches_the_grammars():
     assert [text[a:b] for k, a, b in found if k in ("url", "account")] == ["https://a.example/x?y=1", "1234-5678-90"]
 
 
-def test_pii_rows(docs, empty):
-    got = rows_of(pii.find_personal_data(docs))
-    assert got[0].spans == got[1].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+def test_pii_accounts():
+    anchors = pii.automaton()
+
+    def found(text):
+        return [text[a:b] for k, a, b in pii.find_spans(text, anchors) if k == "account"]
+
+    assert found("account number: 12345678.") == found("Account No. is 12345678") == ["12345678"]
+    assert found("IBAN GB29 NWBK 6016 1331 9268 19 or iban: DE89370400440532013000, thanks") == ["GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000"]
+    assert found("IBAN GB29 NWBK 6016 1331 9268 18") == found("accounts 12345678") == found("account 123") == found("account") == []
+    assert found("passport AB1234567") == ["AB1234567"] and found("İ" * 50 + " ssn 123-45-6789") == ["123-45-6789"]
+
+
+def test_pii_rows(docs, every, empty):
+    anchors = pii.automaton()
+    got = in_order(pii.find_personal_data(docs))
+    for r, (i, t) in zip(got, in_order_of_ids(every), strict=True):
+        spans = pii.find_spans(t or "", anchors)
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans if k in pii.BASE)
+        assert (r.doc_id, r.spans, r.base_sha256) == (i, pii.joined(spans), hashlib.sha256(base.encode()).hexdigest())
     assert pii.find_personal_data(empty).count() == 0
 
 
@@ -334,19 +405,51 @@ def test_longest_matches_over_shards(spark, docs, texts):
     assert got == want and got["1", 0] == (22, 9, 30) and got["null", 0][0] == 0
 
 
-def test_media(docs, texts, empty):
-    got = rows_of(media.media_columns(docs))
-    for i, t in enumerate(texts):
+def brute_fingerprint(samples):
+    """The same by loops and a plain transform of each frame."""
+    import numpy as np
+
+    x = np.frombuffer(samples, np.uint8).astype(np.float32)
+    x = x - x.mean()
+    frames = max(1, math.ceil((len(x) - media.FRAME) / media.HOP) + 1)
+    x = np.concatenate([x, np.zeros((frames - 1) * media.HOP + media.FRAME - len(x), np.float32)])
+    tops = []
+    for f in range(frames):
+        m = np.round(np.abs(np.fft.rfft(x[f * media.HOP :][: media.FRAME] * np.hanning(media.FRAME).astype(np.float32))), 3)
+        peaks = [k for k in range(1, len(m) - 1) if m[k] > m[k - 1] and m[k] >= m[k + 1] and m[k] > 1]
+        tops.append(sorted(peaks, key=lambda k: (-m[k], k))[: media.PEAKS])
+    pairs = []
+    for f, own in enumerate(tops):
+        pairs += [(f, own[a] << 12 | own[b] << 4) for a in range(len(own)) for b in range(a + 1, len(own))]
+        later = [(ahead, p, b) for ahead in range(1, media.AHEAD + 1) if f + ahead < frames for p, b in enumerate(tops[f + ahead])]
+        chosen = sorted((ahead, p, a, own[a] << 12 | b << 4 | ahead) for a in range(len(own)) for ahead, p, b in later[: media.FAN])
+        pairs += [(f, code) for _, _, _, code in chosen]
+    return pairs
+
+
+def test_media(docs, every, empty):
+    got = in_order(media.media_columns(docs))
+    by_text = {}
+    for r, (i, t) in zip(got, in_order_of_ids(every), strict=True):
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
-        with wave.open(__import__("io").BytesIO(bytes(got[i].media))) as f:
+        with wave.open(__import__("io").BytesIO(bytes(r.media))) as f:
             assert (f.getsampwidth(), f.readframes(f.getnframes())) == (1, payload)
-        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert got[i].tail_crc32 == zlib.crc32(payload[-64:]) and got[i].media_bytes == len(bytes(got[i].media))
-    assert got[5].fp_codes == got[6].fp_codes and got[5].fp_codes and got[5].fp_codes != got[8].fp_codes and got[1].fp_codes == []
+        assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) == (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(bytes(r.media)) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
+        assert by_text.setdefault(t or "", (r.fp_times, r.fp_codes)) == (r.fp_times, r.fp_codes)
+        if raw:
+            assert list(zip(r.fp_times, r.fp_codes, strict=True)) == brute_fingerprint(payload), i
+    assert by_text[""] == ([], []) and max(len(t) for t in by_text) > media.SLICE * media.HOP
     assert media.media_columns(empty).count() == 0
 
 
+@pytest.mark.parametrize("samples", [bytes([128] * 100 + [7] + [128] * 900 + [250] * 3 + [128] * 3000 + list(range(200)) + [128] * 90), b"a" * 4000 + b"b" + b"a" * 4000, bytes(range(256)) * 30])
+def test_sparse_peaks_find_partners_further_on(samples):
+    times, codes = media.fingerprint(samples)
+    assert list(zip(times.tolist(), codes.tolist(), strict=True)) == brute_fingerprint(samples)
+
+
 def test_a_tone_has_one_peak():
     import numpy as np
 
@@ -365,19 +468,77 @@ def test_hilbert_curve_visits_neighbours(spark):
         assert all(sum(abs(x - y) for x, y in zip(a[:dims], b[:dims], strict=True)) == 1 for a, b in zip(rows, rows[1:], strict=False))
 
 
-def test_hilbert_shards(docs, texts, empty):
+def hilbert_cells(dims, bits):
+    """Cells in the order of the curve, by walking Skilling's transform cell by cell."""
+    def index(axes):
+        x, n, q = list(axes), dims, 1 << (bits - 1)
+        while q > 1:
+            p = q - 1
+            for i in range(n):
+                if x[i] & q:
+                    x[0] ^= p
+                else:
+                    t = (x[0] ^ x[i]) & p
+                    x[0] ^= t
+                    x[i] ^= t
+            q >>= 1
+        for i in range(1, n):
+            x[i] ^= x[i - 1]
+        t, q = 0, 1 << (bits - 1)
+        while q > 1:
+            if x[n - 1] & q:
+                t ^= q - 1
+            q >>= 1
+        x = [v ^ t for v in x]
+        return sum(((x[i] >> b) & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+    return index
+
+
+def test_hilbert_shards(docs, every, empty):
     got = hilbert_shards.hilbert_shards(docs, shards=7).collect()
-    assert len(got) == len(texts) + 2
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in every)
     sizes = Counter(r.shard for r in got)
     assert set(sizes) == set(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
     for s, n in sizes.items():
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
-    by = {r.doc_id: r for r in got}
-    assert all(by[i].size == len((t or "").encode()) + 16 and by[i].text_crc32 == zlib.crc32((t or "").encode()) for i, t in enumerate(texts))
+    keys = [(r.hilbert, r.doc_id is not None, r.doc_id, r.text_crc32, r.size) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert keys == sorted(keys)  # nulls first
     assert hilbert_shards.hilbert_shards(empty).count() == 0
 
 
-def test_lm_score(docs, texts, empty):
+def test_cells_hold_equal_shares_of_the_rows_and_order_them(spark):
+    from bisect import bisect_right
+
+    rng = random.Random(6)
+    rows = [(k, "hot" if k % 3 == 0 else f"s{rng.randint(0, 99):02d}", rng.choice(["a", "b", None]), rng.randint(0, 1000) if k % 50 else None, "x") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    limits = hilbert_shards.quantiser(df, ["source", "lang", "n_chars"], 2)
+    assert limits["lang"] == ["b"] and all(v == sorted(v) and len(v) <= 3 for v in limits.values())
+    cell = lambda d, v: 0 if v is None else bisect_right(limits[d], v)
+    shares = Counter(cell("source", r[1]) for r in rows)
+    assert shares[cell("source", "hot")] < 1700 and len(shares) > 2  # the hot value's cell takes little besides it
+    assert max(Counter(cell("n_chars", r[3]) for r in rows).values()) < 900
+    index = hilbert_cells(3, 2)
+    got = rows_of(hilbert_shards.hilbert_shards(df, bits=2))
+    assert all(got[r[0]].hilbert == index([cell("source", r[1]), cell("lang", r[2]), cell("n_chars", r[3])]) for r in rows)
+
+
+def test_write_shards_keeps_every_row(spark, docs, every, tmp_path):
+    from pyspark.sql import functions as F
+
+    named = docs.withColumn("shard", F.lit("own")).withColumn("hilbert", F.lit(None).cast("string"))
+    column = hilbert_shards.write_shards(named, f"{tmp_path}/shards", shards=7)
+    assert column == "shard_"
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert set(back.columns) == {*named.columns, column}
+    assert Counter((r.doc_id, r.text, r.shard) for r in back.collect()) == Counter((i, t, "own") for i, t in every)
+    placed = Counter((r.doc_id, r.shard) for r in hilbert_shards.hilbert_shards(named, shards=7).collect())
+    assert Counter((r.doc_id, r[column]) for r in back.collect()) == placed
+
+
+def test_lm_score(docs, texts, every, empty):
+    import numpy as np
     from pyspark.sql import functions as F
 
     learn, held = F.coalesce(F.col("doc_id") % 4 != 0, F.lit(False)), F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))
@@ -385,13 +546,19 @@ def test_lm_score(docs, texts, empty):
     counts = Counter(w for i, own in enumerate(tokens) if i % 4 for w in own)
     counts.update(tokens[7])  # its second row
     total = sum(counts.values())
-    got = rows_of(lm_score.score_documents(docs, learn, held, gram_share=1e-9))
-    for i, own in enumerate(tokens):
-        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in own)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(own), sum(counts[w] > 0 for w in own), total, i % 4 == 0)
-        assert got[i].base_score == pytest.approx(base)
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+    names = {w: k for k, w in enumerate(sorted(counts))}
+    learnt = [own for i, own in enumerate(tokens) if i % 4] + [tokens[7]]
+    grams = [{g: n for g, n in Counter(tuple(names[w] for w in own[k : k + size]) for own in learnt for k in range(len(own) - size + 1)).items() if n >= 2} for size in (2, 3)]
+    auto = lm_score.Automaton({w.encode(): k for w, k in names.items()}, np.array([counts[w] for w in names]), grams, total, len(names))
+    got = in_order(lm_score.score_documents(docs, learn, held))
+    for r, (i, _) in zip(got, in_order_of_ids(every), strict=True):
+        own = tokens[5 if i is None else i]
+        plain = [math.log10((counts[w] + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in own]
+        assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (i, len(own), sum(counts[w] > 0 for w in own), total, i is not None and i % 4 == 0)
+        assert r.base_score == pytest.approx(sum(plain)) and r.score == pytest.approx(auto.score([names.get(w, -1) for w in own], plain)), i
     assert lm_score.score_documents(empty, learn, held).count() == 0
+    nothing = lm_score.score_documents(docs, learn & F.lit(False), held).first()
+    assert nothing.train_tokens == nothing.n_known == 0 and nothing.score == pytest.approx(0)
 
 
 def test_lm_score_keeps_every_repeated_n_gram(spark, monkeypatch):
@@ -429,18 +596,31 @@ def test_automaton_states_sum_to_one():
         assert sum(10**x for x in [*each, other]) == pytest.approx(1)
 
 
-def test_bpe_equals_the_library(docs, texts, empty):
+def test_bpe_equals_the_library(docs, every, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(bpe.default_tokenizer())
-    got = rows_of(bpe.encode_bpe(docs, bpe.default_tokenizer()))
-    for i, t in enumerate(texts):
+    got = in_order(bpe.encode_bpe(docs, bpe.default_tokenizer()))
+    for r, (i, t) in zip(got, in_order_of_ids(every), strict=True):
         want = library.encode(t or "", add_special_tokens=False).ids
-        assert bytes(got[i].token_ids) == b"".join(x.to_bytes(4, "little") for x in want) and got[i].n_tokens == len(want)
-        assert got[i].decoded == library.decode(want, skip_special_tokens=False)
+        assert (r.doc_id, bytes(r.token_ids), r.n_tokens) == (i, b"".join(x.to_bytes(4, "little") for x in want), len(want))
+        assert r.decoded == library.decode(want, skip_special_tokens=False)
     assert bpe.encode_bpe(empty, bpe.default_tokenizer()).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    with open(bpe.default_tokenizer(), encoding="utf-8") as f:
+        own = bpe.BacktrackingBPE(f.read())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
+    for at in range(0, len(points), 10_000):
+        some = points[at : at + 10_000]
+        for c, want in zip(some, library.encode_batch(some, add_special_tokens=False), strict=True):
+            assert own.encode(c)[0] == b"".join(x.to_bytes(4, "little") for x in want.ids), hex(ord(c))
+
+
 def test_bpe_on_odd_strings():
     from tokenizers import Tokenizer
 
