@@ -14,12 +14,16 @@ WS = f"[{SPACE}]"
 
 @dataclass(frozen=True)
 class Rewrite:
-    """Replace every match of a pattern; ``keep`` is the group that stays (0: none, with ``by`` in its place)."""
+    """Replace every match of a pattern; ``keep`` is the group that stays (0: none, with ``by`` in its place).
+
+    Every text with a match has one of ``needs`` in it, if there are any: a cheap test that saves the search.
+    """
 
     pattern: str
     by: str = " "
     keep: int = 0
     java_pattern: str | None = None
+    needs: tuple[str, ...] = ()
 
     @property
     def java(self) -> tuple[str, str]:
@@ -33,31 +37,34 @@ class Rewrite:
 
 #: The rewrites that turn Markdown into prose, in order.
 CLEANING = (
-    Rewrite(r"\r\n", by="\n"),
-    Rewrite(r"\A---[ \t]*\n(?s:.*?\n)??---[ \t]*(?:\n|\z)", by=""),
-    Rewrite(r"(?m)^```[^\n]*\n(?s:.*?)^```[^\n]*$"),
-    Rewrite(r"(?m)^~~~[^\n]*\n(?s:.*?)^~~~[^\n]*$"),
-    Rewrite(r"<!--(?s:.*?)-->"),
-    Rewrite(r"%%(?s:.*?)%%"),
-    Rewrite(rf"(?m)^{WS}*[\p{{L}}\w-]+::[^\n]*$"),
-    Rewrite(r"!\[\[[^\]]*\]\]"),
-    Rewrite(r"!\[[^\]]*\]\([^)]*\)"),
-    Rewrite(r"\[([^\]]*)\]\((?:[^()]|\([^)]*\))*\)", keep=1, java_pattern=r"\[([^\]]*)\]\((?:[^()]++|\([^)]*\))*+\)"),
-    Rewrite(r"\[\[[^\]|#]*(?:#[^\]|]*)?\|([^\]]+)\]\]", keep=1),
-    Rewrite(r"\[\[([^\]|#]*)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]", keep=1),
-    Rewrite(rf"\bhttps?://[^{SPACE}]+"),
-    Rewrite(r"`[^`\n]*`"),
-    Rewrite(r"</?[a-zA-Z][^>]*>"),
-    Rewrite(rf"(?m)^>{WS}*\[![^\]]*\][+-]?{WS}*", by=""),
-    Rewrite(rf"(?m)^{WS}*(?:-{{3,}}|_{{3,}}|\*{{3,}}|={{3,}}){WS}*$", by=""),
-    Rewrite(rf"(?m)^{WS}*\|?{WS}*:?-{{2,}}[^\n]*$", by=""),
-    Rewrite(rf"(?m)^#{{1,6}}{WS}+([^\n]*)$", keep=1),
-    Rewrite(rf"(\A|{WS})#[\p{{L}}\w/-]+", keep=1),
-    Rewrite(r"[|*_>#=~]+"),
-    Rewrite(r"[\t\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000} ]+"),
+    Rewrite(r"\r\n", by="\n", needs=("\r\n",)),
+    Rewrite(r"\A---[ \t]*\n(?s:.*?\n)??---[ \t]*(?:\n|\z)", by="", needs=("---",)),
+    Rewrite(r"(?m)^```[^\n]*\n(?s:.*?)^```[^\n]*$", needs=("```",)),
+    Rewrite(r"(?m)^~~~[^\n]*\n(?s:.*?)^~~~[^\n]*$", needs=("~~~",)),
+    Rewrite(r"<!--(?s:.*?)-->", needs=("<!--",)),
+    Rewrite(r"%%(?s:.*?)%%", needs=("%%",)),
+    Rewrite(rf"(?m)^{WS}*[\p{{L}}\w-]+::[^\n]*$", needs=("::",)),
+    Rewrite(r"!\[\[[^\]]*\]\]", needs=("![[",)),
+    Rewrite(r"!\[[^\]]*\]\([^)]*\)", needs=("![",)),
+    Rewrite(r"\[([^\]]*)\]\((?:[^()]|\([^)]*\))*\)", keep=1, java_pattern=r"\[([^\]]*)\]\((?:[^()]++|\([^)]*\))*+\)", needs=("](",)),
+    Rewrite(r"\[\[[^\]|#]*(?:#[^\]|]*)?\|([^\]]+)\]\]", keep=1, needs=("[[",)),
+    Rewrite(r"\[\[([^\]|#]*)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]", keep=1, needs=("[[",)),
+    Rewrite(rf"\bhttps?://[^{SPACE}]+", needs=("http",)),
+    Rewrite(r"`[^`\n]*`", needs=("`",)),
+    Rewrite(r"</?[a-zA-Z][^>]*>", needs=("<",)),
+    Rewrite(rf"(?m)^>{WS}*\[![^\]]*\][+-]?{WS}*", by="", needs=("[!",)),
+    Rewrite(rf"(?m)^{WS}*(?:-{{3,}}|_{{3,}}|\*{{3,}}|={{3,}}){WS}*$", by="", needs=("---", "___", "***", "===")),
+    Rewrite(rf"(?m)^{WS}*\|?{WS}*:?-{{2,}}[^\n]*$", by="", needs=("--",)),
+    Rewrite(rf"(?m)^#{{1,6}}{WS}+([^\n]*)$", keep=1, needs=("#",)),
+    Rewrite(rf"(\A|{WS})#[\p{{L}}\w/-]+", keep=1, needs=("#",)),
+    Rewrite(r"[|*_>#=~]+", needs=tuple("|*_>#=~")),
+    # In the first engine a single blank, which stays as it is, is no match.
+    Rewrite(r"[\t\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000} ]+", java_pattern=r"[\t\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}][\t\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000} ]*| [\t\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000} ]+"),
 )
 #: HTML to text: the tag and white-space rewrites alone.
 HTML = (CLEANING[4], CLEANING[14], CLEANING[21])
+#: The same characters, for trimming.
+SPACES_ALONE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 TRIM = Rewrite(rf"\A{WS}+|{WS}+\z", by="")
 DIGITS = Rewrite("[0-9]+", by="#")
 SPACES = Rewrite(f"{WS}+", by=" ")
@@ -66,6 +73,7 @@ TAG_SEPARATORS = Rewrite("[/_-]+", by=" ")
 FILE_ILLEGAL = Rewrite(r'[\\/:*?"<>|#^\[\]]', by=" ")
 FILE_TAIL = Rewrite("[. ]+$", by="")
 
+#: The token and name patterns.
 WORD = r"(\p{L}[\p{L}0-9-]{2,})"
 ACRONYM = r"(\p{Lu}[\p{Lu}0-9-]{1,})"
 TITLE_BREAK = r"[^\p{L}0-9-]+"

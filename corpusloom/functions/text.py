@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,20 +18,57 @@ def rewrite(text: Column, *steps: P.Rewrite) -> Column:
     return text
 
 
+def rewrite_where_needed(text: Column, steps: Iterable[P.Rewrite]) -> Column:
+    """The same, but a step's pattern is searched only where one of the strings it needs is there.
+
+    Texts pass through one-element arrays, so that each step's result is worked out once and named.
+    """
+    held = F.array(text)
+    for step in steps:
+        held = F.transform(held, _where_needed(step))
+    return F.get(held, F.lit(0))
+
+
+def _where_needed(step: P.Rewrite):
+    def one(text: Column) -> Column:
+        if not step.needs:
+            return rewrite(text, step)
+        return F.when(reduce(or_, [F.contains(text, F.lit(n)) for n in step.needs]), rewrite(text, step)).otherwise(text)
+
+    return one
+
+
 def trim(text: Column) -> Column:
-    return rewrite(text, P.TRIM)
+    return F.btrim(text, F.lit(P.SPACES_ALONE))
 
 
 def clean_lines(text: Column) -> Column:
     """Markdown as non-empty trimmed lines of prose (P-01)."""
-    lines = F.split(rewrite(F.coalesce(text, F.lit("")), *P.CLEANING), "\n")
+    lines = F.split(rewrite_where_needed(F.coalesce(text, F.lit("")), P.CLEANING), "\n")
     return F.filter(F.transform(lines, trim), lambda l: l != "")
 
 
+def first_line(text: Column) -> Column:
+    """The first line that isn't blank, trimmed; empty without one."""
+    return trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"\A{P.WS}*+([^\n]*+)", 1))
+
+
+def normalize_lines(lines: Column) -> Column:
+    """``normalize_line`` of trimmed non-empty lines, worked out over all of them at once."""
+    inside = P.Rewrite(f"{P.WS[:-1]}&&[^\n]]+", by=" ")
+    whole = rewrite(F.lower(F.array_join(lines, "\n")), P.DIGITS, inside)
+    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.split(whole, "\n"))
+
+
+def first_after_title(lines: Column, title: Column) -> Column:
+    """Where the lines begin (from 1) without a first one that repeats the title."""
+    same = (F.size(lines) > 0) & (F.lower(F.get(lines, F.lit(0))) == F.lower(title))
+    return F.when(same, F.lit(2)).otherwise(F.lit(1))
+
+
 def drop_title(lines: Column, title: Column) -> Column:
     """Lines without a first one that repeats the title (P-02)."""
-    same = (F.size(lines) > 0) & (F.lower(F.get(lines, F.lit(0))) == F.lower(title))
-    return F.when(same, F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    return F.slice(lines, first_after_title(lines, title), F.greatest(F.size(lines), F.lit(1)))
 
 
 def body_lines(text: Column, title: Column) -> Column:
@@ -52,7 +91,7 @@ def tag_words(tag: Column) -> Column:
 
 def semantic_chars(body: Column) -> Column:
     """Characters that aren't white space (P-05)."""
-    return F.length(rewrite(body, P.NO_SPACE)).cast("long")
+    return F.length(rewrite(F.replace(F.replace(body, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")), P.NO_SPACE)).cast("long")
 
 
 def header_text(title: Column, aliases: Column, headings: Column, tags: Column, max_headings: int = 10) -> Column:
@@ -74,8 +113,7 @@ def join_nonempty(parts: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Keyword tokens in order (P-09)."""
     folded = F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
-    stop = F.array(*[F.lit(w) for w in sorted(P.STOP_WORDS)])
-    return F.filter(F.regexp_extract_all(folded, F.lit(P.WORD), 1), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(folded, F.lit(P.WORD), 1), lambda t: ~t.isin(*sorted(P.STOP_WORDS)))
 
 
 def stem(token: Column) -> Column:

@@ -10,6 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunks, collections, keywords, templates
 from corpusloom.plans.config import Settings
 from corpusloom.sources.notes import exclusion_reason, from_documents, table
+from corpusloom.sources.scratch import materialize
 
 RULES = Settings(excluded_folders=("src0", "src3/de"), excluded_tags=("quality/0",))
 
@@ -60,7 +61,7 @@ def template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def processed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = templates.with_lines(_notes(spark, sf_dir, labels=True)).persist()
+    lines = materialize(templates.with_lines(_notes(spark, sf_dir, labels=True)).drop("content"), "lines")
     return templates.processed_notes(lines, templates.template_lines(lines))
 
 

@@ -9,14 +9,24 @@ from corpusloom.functions import text as T
 from corpusloom.plans.config import Settings
 
 
+#: Files of less than this a core may hold fewer row groups, and so tasks, than there are cores.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small scan dealt evenly over all cores; scans that are large enough stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def from_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Documents as notes: the first non-empty line is the title, source and language are the folders."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.trim), lambda l: l != "")
-    rows = documents
+    rows = documents = spread(documents)
     tags = F.array("lang")
     if labels is not None:
         rows = documents.join(labels.select(F.col("doc_id").alias("_l"), "quality"), documents["doc_id"] == F.col("_l"), "left").drop("_l")
@@ -24,7 +34,7 @@ def from_documents(documents: DataFrame, labels: DataFrame | None = None) -> Dat
     return rows.select(
         F.col("doc_id").cast("string").alias("id"),
         F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"),
-        F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 80).alias("title"),
+        F.substring(T.first_line(F.col("text")), 1, 80).alias("title"),
         F.coalesce("text", F.lit("")).alias("content"),
         tags.alias("tags"),
     )
