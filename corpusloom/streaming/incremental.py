@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import vectors as V
+from corpusloom.operators.ranks import share_of_group_below
 from corpusloom.operators.vectors import centroids
 from corpusloom.plans.config import CHUNK_DISCOUNT, INCREMENTAL_PERCENTILE, MIN_MEMBERS, QUEUE_CAP, SIGNIFICANT_COSINE
 
@@ -66,17 +67,12 @@ def score_topics(notes: DataFrame, members: DataFrame, chunks: DataFrame | None
     """
     centres = centroids(members, "index_id").where(F.col("size") >= min_members).select("index_id", "centroid")
     own = members.join(centres, "index_id").select("index_id", F.round(V.dot(F.col("vector"), F.col("centroid")), 9).alias("s"))
-    steps = own.groupBy("index_id", "s").agg(F.count("*").alias("n"))
-    steps = steps.withColumn("through", F.sum("n").over(Window.partitionBy("index_id").orderBy("s"))).withColumn("size", F.sum("n").over(Window.partitionBy("index_id")))
     parts = notes.select(F.col("id").alias("note_id"), F.lit(-1).cast("long").alias("chunk_no"), V.as_double(F.col("vector")).alias("vector"), F.lit(1.0).alias("factor"))
     if chunks is not None:
         parts = parts.unionByName(chunks.select("note_id", F.col("chunk_no").cast("long").alias("chunk_no"), V.as_double(F.col("vector")).alias("vector"), F.lit(discount).alias("factor")))
     scored = parts.join(centres).withColumn("s", F.round(F.col("factor") * V.dot(F.col("vector"), F.col("centroid")), 9))
     best = scored.groupBy("note_id", "index_id").agg(F.max("s").alias("s"), F.max_by("chunk_no", F.struct("s", -F.col("chunk_no"))).alias("chunk_no"))
-    both = best.select("index_id", "s", "note_id", "chunk_no", F.lit(None).cast("bigint").alias("through")).unionByName(steps.select("index_id", "s", F.lit(None).cast(dict(best.dtypes)["note_id"]).alias("note_id"), F.lit(None).cast("bigint").alias("chunk_no"), "through"))
-    walk = Window.partitionBy("index_id").orderBy("s", F.col("through").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    below = both.withColumn("below", F.coalesce(F.last("through", ignorenulls=True).over(walk), F.lit(0))).where("note_id is not null")
-    fit = below.join(F.broadcast(steps.select("index_id", "size").distinct()), "index_id").withColumn("score", F.col("below") / F.col("size")).where(F.col("score") >= least)
+    fit = share_of_group_below(best, own, "index_id", "s", "score").where(F.col("score") >= least)
     order = Window.partitionBy("note_id").orderBy(F.col("score").desc(), "index_id")
     return fit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("note_id", "rank", "index_id", "score", F.when(F.col("chunk_no") < 0, "document").otherwise("chunk").alias("via"), "chunk_no")
 
