@@ -72,9 +72,13 @@ HEAVY_ROWS, HEAVY_SHARE = 1000, 20_000
 
 
 def heavy(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """key, _parts: the keys with many rows and over how many tasks to deal them; at most HEAVY_SHARE rows."""
+    """key, _parts: the keys with many rows and over how many tasks to deal them; at most HEAVY_SHARE rows.
+
+    A row of null key, which equals none, keeps plans alike whether or not there are such keys.
+    """
     limit = max(HEAVY_ROWS, -(-total // HEAVY_SHARE))
-    return counts.where(F.col(n) >= limit).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / limit).cast("int").alias("_parts"))
+    hot = counts.where(F.col(n) >= limit).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / limit).cast("int").alias("_parts"))
+    return hot.unionByName(counts.sparkSession.range(1).select(F.lit(None).cast(counts.schema[key].dataType).alias("_hot"), F.lit(1).alias("_parts")))
 
 
 def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, heavy_keys: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:

@@ -45,7 +45,7 @@ _FACTORS = (seeded64(HASHES, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(
 WIDE = 1024
 _WIDE_FACTORS = (seeded64(WIDE, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Members of a bucket that meet in one task, first by signatures alone, then by so many bytes of their sets.
-SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 16_384, 48 << 20
 #: Rows or bytes gathered before the complete groups among them are worked on.
 GATHER_ROWS, GATHER_BYTES = 8192, 32 << 20
 _BAND_PLACES = seeded64(ROWS, 3) | np.uint64(1)
@@ -238,8 +238,12 @@ def in_slices(members: DataFrame, weight: Column, most: int) -> DataFrame:
     as_right = F.transform(F.sequence(F.lit(0), ni - 1), lambda i: meeting(i, own(nj, 2), 2))
     both = F.array(meeting(F.lit(0), F.lit(0), 3))
     meetings = F.when((ni == 1) & (nj == 1), F.when(F.col("outside"), both).otherwise(as_right)).otherwise(F.concat(as_left, as_right))
-    out = dealt.withColumn("_m", F.explode(meetings)).select(*members.columns, "_m.*")
-    return out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cls")
+    return dealt.withColumn("_m", F.explode(meetings)).select(*members.columns, "_m.*")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """Rows of a meeting together, in order."""
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cls")
 
 
 def complete_groups(it: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucket", "i", "j")) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -282,21 +286,32 @@ def _equal(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     return size - np.bitwise_count(folded).sum(axis=-1, dtype=np.int64)
 
 
+def _bands(table: pa.Table) -> np.ndarray:
+    return table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+
+
+def _first_common(bands: np.ndarray, x: int, y: np.ndarray) -> np.ndarray:
+    """The first bucket that x shares with each of y, where alone their pair is looked at."""
+    return bands[x][(bands[y] == bands[x]).argmax(axis=1)]
+
+
 def _flag(percent: int):
-    """Members with a likely partner of another component, once a meeting."""
+    """Members with a likely partner of another component whose first common bucket this is."""
     schema = pa.schema([("bucket", pa.int64()), ("cls", pa.int64()), ("c", pa.int64()), ("outside", pa.bool_())])
     least = least_matches(percent)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in complete_groups(it):
             cls, c, n, role = (table.column(k).to_numpy() for k in ("cls", "c", "n", "role"))
-            planes, hit = _planes(table, PACKED), np.zeros(table.num_rows, bool)
+            planes, hit, bands = _planes(table, PACKED), np.zeros(table.num_rows, bool), _bands(table)
+            buckets = table.column("bucket").to_numpy()
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 left, right = (lo + np.flatnonzero(role[lo:hi] & r) for r in (1, 2))
                 for x in left.tolist():
                     y = right[(c[right] != c[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
                     if len(y) and len(y := y[_equal(planes[x], planes[y], HASHES) >= least]):
-                        hit[x] = True
+                        y = y[_first_common(bands, x, y) == buckets[x]]
+                        hit[x] |= len(y) > 0
                         hit[y] = True
             keep = pa.array(hit)
             yield from pa.Table.from_arrays([table.column(k).filter(keep) for k in schema.names], schema=schema).to_batches()
@@ -319,9 +334,7 @@ def _link(percent: int):
             y = y[_equal(planes[x], planes[y], HASHES) >= least]
             sharp = _equal(wide[x], wide[y], WIDE)
             y, sharp = y[sharp >= least_wide], sharp[sharp >= least_wide]
-            # A pair is made in the first of its common bands alone.
-            same = bands[y] == bands[x]
-            mine = bands[x][same.argmax(axis=1)] == bucket
+            mine = _first_common(bands, x, y) == bucket
             y = y[mine][np.argsort(-sharp[mine], kind="stable")]
             step = 8
             while len(y):  # likeliest first; what is linked meanwhile needs no look
@@ -337,7 +350,7 @@ def _link(percent: int):
         for table, at in complete_groups(it):
             rows = {k: table.column(k).to_numpy() for k in ("bucket", "cls", "c", "n", "role", "outside")}
             rows["planes"] = _planes(table, PACKED)
-            rows["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            rows["bands"] = _bands(table)
             rows["wide"] = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE * LOW_BITS // 64)
             sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
             found = [link for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for link in meet(rows, lo, hi, sets)]
@@ -369,14 +382,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(same.unionByName(confirm(best_tries(buckets, signed, percent), src, classes, percent)))
 
     # What is still apart: first by signatures, then on full sets.
-    open_ = materialize(apart(buckets, found).join(signed.drop("rep"), "cls"), "apart")
-    flagged = in_slices(open_.drop("rep"), F.lit(1), SLICE_ROWS).mapInArrow(_flag(percent), "bucket long, cls long, c long, outside boolean")
+    open_ = materialize(in_slices(apart(buckets, found).drop("rep"), F.lit(1), SLICE_ROWS), "apart")
+    signs = classes.select("cls", "n", *PACKED, "bands")
+    flagged = met(open_.join(signs, "cls")).mapInArrow(_flag(percent), "bucket long, cls long, c long, outside boolean")
     flagged = materialize(flagged.distinct(), "flagged")
     known = classes.select("cls", "rep", "digest", "n", *PACKED, "bands")
     wanted = materialize(known.join(flagged.select(F.col("cls").alias("_w")).distinct(), F.col("cls") == F.col("_w"), "left_semi"), "wanted")
-    sets = full_sets(src, wanted.select("cls", "rep", "digest"))
-    rich = materialize(flagged.join(wanted.drop("rep", "digest"), "cls").join(sets, "cls"), "open-sets")
-    links = in_slices(rich, F.col("n") * 8 + 1024, SLICE_BYTES).mapInArrow(_link(percent), "a long, b long")
+    rich = wanted.join(full_sets(src, wanted.select("cls", "rep", "digest")), "cls").drop("rep", "digest")
+    open_ = materialize(in_slices(flagged.join(wanted.select("cls", "n"), "cls"), F.col("n") * 8 + 1024, SLICE_BYTES).drop("n"), "flagged")
+    links = met(open_.join(rich, "cls")).mapInArrow(_link(percent), "a long, b long")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     out = members.join(found, F.col("rep") == F.col("node"), "left")

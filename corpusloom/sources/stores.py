@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.review import Decisions
 from corpusloom.plans.config import HISTORY_KEEP
+from corpusloom.sources.scratch import delete
 
 
 def save_cache(entries: DataFrame, path: str, shards: int = 16) -> None:
@@ -50,13 +54,52 @@ def latest_by_key(rows: DataFrame, key: str, order: str, tie: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
-def save(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+STORE_VERSION = 1
+_STATE = "version int, rows long, place string"
+
+
+def save_store(df: DataFrame, path: str, version: int = STORE_VERSION) -> None:
+    """Write a store: its rows to a place of their own, then a state that names the place, its version and row count.
+
+    Readers see the old rows or the new ones, never parts (S-07, S-08, S-11).
+    """
+    spark, place = df.sparkSession, f"rows-{uuid.uuid4().hex}"
+    was = _read(spark, f"{path}/state", _STATE).collect()
+    df.write.parquet(f"{path}/{place}")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/{place}").count()
+    spark.createDataFrame([(version, rows, place)], _STATE).coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+    for r in was:
+        delete(spark, f"{path}/{r.place}")
+
+
+def load_store(spark: SparkSession, path: str, schema: str, version: int = STORE_VERSION) -> DataFrame:
+    """A store's rows; none where it can't be read, has another version or another number of rows than it was saved with."""
+    state = _read(spark, f"{path}/state", _STATE).collect()
+    if len(state) == 1 and state[0].version == version:
+        found = _read(spark, f"{path}/{state[0].place}", schema)
+        if found.count() == state[0].rows:
+            return found
+    return spark.createDataFrame([], schema)
 
 
-def load_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A store's rows, or none where it can't be read (S-10, S-11)."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     exists = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
     return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path) if exists else spark.createDataFrame([], schema)
+
+
+DECISIONS = "kind string, seq int, key string, value string"
+
+
+def decisions_table(spark: SparkSession, decisions: Decisions) -> DataFrame:
+    """A user's decisions as rows, in their order (S-10)."""
+    rows = [(kind, n, *(d if isinstance(d, tuple) else (d, None))) for kind, each in vars(decisions).items() for n, d in enumerate(each)]
+    return spark.createDataFrame(rows, DECISIONS)
+
+
+def decisions_of(table: DataFrame) -> Decisions:
+    """Decisions from their rows; kinds that are missing are empty.  They are a user's, and few."""
+    found: dict[str, list] = {}
+    for r in table.orderBy("kind", "seq").collect():
+        found.setdefault(r.kind, []).append(r.key if r.kind in ("ignored", "splits") else (r.key, r.value))
+    return Decisions(**{k: tuple(v) for k, v in found.items()})
