@@ -70,27 +70,29 @@ def targets(proposals: DataFrame, decisions: Decisions) -> DataFrame:
     return found.select("id", F.coalesce("_live", "id").alias("target"))
 
 
-def effective_members(proposals: DataFrame, members: DataFrame, decisions: Decisions) -> DataFrame:
+def effective_members(proposals: DataFrame, members: DataFrame, decisions: Decisions, live: DataFrame | None = None) -> DataFrame:
     """index_id, note_id, score, is_primary, manual: memberships after every decision (U-03, U-04, W-04).
 
-    One primary index a note: the user's choice, else the best primary membership, else the first.
+    One primary index a note: the user's choice, else the best primary membership, else the first.  With ``live``
+    (note_id) only notes that still exist stay (J-15).
     """
     spark, merged = proposals.sparkSession, dict(decisions.merged)
     pairs = lambda rows: spark.createDataFrame([(resolve(i, merged), n) for i, n in rows], "index_id string, note_id string")
     where = targets(proposals, decisions)
     ids = where.where("id = target").select(F.col("id").alias("index_id"))
     ranked = members.join(where, members["proposal_id"] == where["id"])
-    folded = ranked.groupBy(F.col("target").alias("index_id"), "note_id").agg(F.max_by("score", F.col("proposal_id") == F.col("target")).alias("score"), F.bool_or("is_primary").alias("is_primary"))
+    folded = ranked.groupBy(F.col("target").alias("index_id"), "note_id").agg(F.max_by("score", F.struct(F.col("proposal_id") == F.col("target"), "score")).alias("score"), F.bool_or("is_primary").alias("is_primary"))
     added = pairs(decisions.added).distinct().join(ids, "index_id", "left_semi").join(folded, ["index_id", "note_id"], "left_anti")
     both = folded.withColumn("manual", F.lit(False)).unionByName(added.select("index_id", "note_id", F.lit(1.0).alias("score"), F.lit(True).alias("is_primary"), F.lit(True).alias("manual")))
     both = both.join(pairs(decisions.removed).distinct(), ["index_id", "note_id"], "left_anti")
     ignored = spark.createDataFrame([(i,) for i in decisions.ignored], "index_id string")
     forced = spark.createDataFrame([(n, resolve(i, merged)) for n, i in decisions.primary], "note_id string, _forced string")
     rows = both.join(F.broadcast(ignored.withColumn("_ignored", F.lit(True))), "index_id", "left").join(F.broadcast(forced), "note_id", "left")
-    live = F.coalesce("_ignored", F.lit(False)) == F.lit(False)
-    order = Window.partitionBy("note_id").orderBy(live.desc(), F.coalesce(F.col("index_id") == F.col("_forced"), F.lit(False)).desc(), F.col("is_primary").desc(), F.when(F.col("is_primary"), F.col("score")).desc_nulls_last(), "index_id")
+    shown = F.coalesce("_ignored", F.lit(False)) == F.lit(False)
+    order = Window.partitionBy("note_id").orderBy(shown.desc(), F.coalesce(F.col("index_id") == F.col("_forced"), F.lit(False)).desc(), F.col("is_primary").desc(), F.when(F.col("is_primary"), F.col("score")).desc_nulls_last(), "index_id")
     first = rows.withColumn("_n", F.row_number().over(order))
-    return first.select("index_id", "note_id", "score", F.when(live, F.col("_n") == 1).otherwise(F.col("is_primary")).alias("is_primary"), "manual", (~live).alias("ignored"))
+    out = first.select("index_id", "note_id", "score", F.when(shown, F.col("_n") == 1).otherwise(F.col("is_primary")).alias("is_primary"), "manual", (~shown).alias("ignored"))
+    return out if live is None else out.join(live.select("note_id"), "note_id", "left_semi").select(*out.columns)
 
 
 def effective_indexes(proposals: DataFrame, effective: DataFrame, decisions: Decisions) -> DataFrame:
@@ -105,6 +107,55 @@ def effective_indexes(proposals: DataFrame, effective: DataFrame, decisions: Dec
     return out.orderBy("ignored", F.col("kind") == "collection", F.col("size").desc(), "id")
 
 
+#: How many rows of each kind are shown.
+SHOWN_MEMBERS, SHOWN_UNCLASSIFIED, SHOWN_QUEUE, SHOWN_SAMPLES = 200, 300, 100, 4
+#: Fixed value: keywords of a merged index.
+MERGED_KEYWORDS = 10
+
+
+def shown_members(effective: DataFrame, limit: int = SHOWN_MEMBERS) -> DataFrame:
+    """index_id, place, note_id, score, is_primary: each index's first members in display order (T-05, T-08)."""
+    order = Window.partitionBy("index_id").orderBy(F.col("is_primary").desc(), F.col("score").desc(), "note_id")
+    return effective.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("index_id", "place", "note_id", "score", "is_primary")
+
+
+def shown_unclassified(left: DataFrame, limit: int = SHOWN_UNCLASSIFIED) -> DataFrame:
+    """The first notes without an index, by id (T-08)."""
+    return left.orderBy("note_id").limit(limit)
+
+
+def merged_keywords(proposals: DataFrame, decisions: Decisions, most: int = MERGED_KEYWORDS) -> DataFrame:
+    """id, keywords: an index's own keywords, then those of what was merged into it, in order of id, each once (U-03)."""
+    where = targets(proposals, decisions)
+    own = F.struct((F.col("id") != F.col("target")).alias("merged"), "id", "keywords")
+    each = proposals.select("id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")).join(where, "id").groupBy("target").agg(F.array_sort(F.collect_list(own)).alias("k"))
+    return each.select(F.col("target").alias("id"), F.slice(F.array_distinct(F.flatten(F.transform("k", lambda x: x["keywords"]))), 1, most).alias("keywords"))
+
+
+def apply_split(proposals: DataFrame, members: DataFrame, index: str, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(proposals, members, note_id of notes now without an index) with one proposal replaced by its parts (U-07, C-06).
+
+    parts: id, name, note_id, score, the primary members of each part.  Parts remember the proposal in ``split_from``;
+    an id that is taken gets ``-s``.
+    """
+    kept = proposals.where(F.col("id") != index)
+    kept = kept if "split_from" in kept.columns else kept.withColumn("split_from", F.lit(None).cast("string"))
+    taken = proposals.select(F.col("id").alias("_taken"))
+    new = parts.join(taken, F.col("id") == F.col("_taken"), "left").withColumn("id", F.concat("id", F.when(F.col("_taken").isNotNull(), "-s").otherwise(""))).drop("_taken")
+    kind = proposals.where(F.col("id") == index).select(F.col("kind").alias("_kind")).limit(1)
+    heads = new.select("id", "name").distinct().join(F.broadcast(kind)).select("id", F.col("_kind").alias("kind"), "name", F.lit(index).alias("split_from"))
+    rows = new.select(F.col("id").alias("proposal_id"), "note_id", "score", F.lit(True).alias("is_primary"))
+    others = members.where(F.col("proposal_id") != index)
+    lost = members.where((F.col("proposal_id") == index) & F.col("is_primary")).select("note_id").join(rows.select("note_id"), "note_id", "left_anti")
+    lost = lost.join(others.where("is_primary").select("note_id"), "note_id", "left_anti")
+    return kept.unionByName(heads, allowMissingColumns=True), others.unionByName(rows, allowMissingColumns=True), lost
+
+
+def record_split(decisions: Decisions, index: str) -> Decisions:
+    """Decisions about a split index have no target any more; that it was split is one."""
+    return replace(decisions, names=tuple(n for n in decisions.names if n[0] != index), ignored=tuple(i for i in decisions.ignored if i != index), splits=tuple(dict.fromkeys((*decisions.splits, index))))
+
+
 def unclassified(notes: DataFrame, effective: DataFrame) -> DataFrame:
     """Notes without an index that isn't ignored (U-05)."""
     return notes.select("note_id").join(effective.where("not ignored").select("note_id"), "note_id", "left_anti")

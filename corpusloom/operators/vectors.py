@@ -223,3 +223,16 @@ def apply_sync(vectors: DataFrame, indexed: DataFrame, plan: DataFrame) -> DataF
     upserts = vectors.join(plan.where("action = 'upsert'").select("id"), "id", "left_semi")
     kept = indexed.join(plan.where("action = 'keep'").select("id"), "id", "left_semi")
     return materialize(kept.unionByName(upserts.select(*kept.columns)), "index")
+
+
+def search_one(vector: list[float], vectors: DataFrame, k: int = 4, without: int | None = None) -> DataFrame:
+    """dst, score: the nearest rows to one vector, perhaps without a row of the index (V-12)."""
+    rows = vectors if without is None else vectors.where(F.col("id") != without)
+    scored = rows.select(F.col("id").alias("dst"), V.dot(V.as_double(F.col("vector")), F.array(*[F.lit(float(x)) for x in vector])).alias("score"))
+    return scored.orderBy(F.col("score").desc(), "dst").limit(k)
+
+
+def neighbour_lists(neighbours: DataFrame) -> DataFrame:
+    """src, ids, scores: each row's neighbours as arrays, nearest first (V-13)."""
+    best = F.array_sort(F.collect_list(F.struct("rank", "dst", "score")))
+    return neighbours.groupBy("src").agg(best.alias("b")).select("src", F.transform("b", lambda x: x["dst"]).alias("ids"), F.transform("b", lambda x: x["score"]).alias("scores"))

@@ -49,7 +49,7 @@ def effective_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_plan_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = from_documents(table(spark, sf_dir, "documents")).select(F.col("id").cast("long").alias("seq"), "id", F.substring("title", 1, 12).alias("name"))
+    notes = from_documents(table(spark, sf_dir, "documents")).select(F.col("id").cast("long").alias("seq"), "id", F.col("title").alias("name"))
     return applying.unique_paths(notes, "Indexes").select("id", "path")
 
 
@@ -96,7 +96,7 @@ def latest_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_queue_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _events(spark, sf_dir).where("op = 'error'").select(F.col("key").alias("note_id"), F.col("event_id").cast("string").alias("path"), F.unix_timestamp("ts").alias("created_at"))
+    items = _events(spark, sf_dir).select(F.col("key").alias("note_id"), F.col("event_id").cast("string").alias("path"), F.unix_timestamp("ts").alias("created_at"))
     return incremental.upsert_queue(items.limit(0), items).select("note_id", "created_at")
 
 
@@ -149,8 +149,8 @@ ORACLES = {
       b AS (SELECT *, sum(starts) OVER (PARTITION BY key ORDER BY ts, event_id) AS burst FROM g), s AS (SELECT key, burst, count(*) AS events, bool_or(op = 'create') AS is_new FROM b GROUP BY 1, 2)
       SELECT key, count(*) AS bursts, sum(events)::BIGINT AS events, count(*) FILTER (is_new) AS "new", max(events) AS largest FROM s GROUP BY key""",
     "latest_event_per_user": f"WITH {_EVENTS} SELECT key, event_id, op FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS k FROM e) WHERE k = 1",
-    "event_queue_top200": f"WITH {_EVENTS}, l AS (SELECT key AS note_id, max(epoch(ts)::BIGINT) AS created_at FROM (SELECT key, date_trunc('second', ts) AS ts FROM e WHERE op = 'error') GROUP BY key) SELECT note_id, created_at FROM l ORDER BY created_at DESC, note_id LIMIT 200",
+    "event_queue_top200": f"WITH {_EVENTS}, l AS (SELECT key AS note_id, max(epoch(ts)::BIGINT) AS created_at FROM (SELECT key, date_trunc('second', ts) AS ts FROM e) GROUP BY key) SELECT note_id, created_at FROM l ORDER BY created_at DESC, note_id LIMIT 200",
     "stage_spans": f"WITH {_EVENTS}, s AS (SELECT event_id, epoch(date_trunc('second', lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id)))::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS seconds FROM e) SELECT event_id, seconds FROM s WHERE seconds IS NOT NULL",
-    "apply_plan_names": f"""WITH n AS (SELECT doc_id, {T.sql_file_name(f'substr({_TITLE}, 1, 12)')} AS base FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY doc_id) AS k FROM n)
+    "apply_plan_names": f"""WITH n AS (SELECT doc_id, {T.sql_file_name(_TITLE)} AS base FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY doc_id) AS k FROM n)
       SELECT doc_id::VARCHAR AS id, 'Indexes/' || base || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.md' AS path FROM r""",
 }

@@ -90,6 +90,12 @@ def exclusion_reason(settings: Settings, path: Column, tags: Column, frontmatter
     )
 
 
+def scan_one(notes: DataFrame, path: str, settings: Settings) -> DataFrame:
+    """The note at a path; no row where it is missing or left out (S-02)."""
+    front = F.col("frontmatter") if "frontmatter" in notes.columns else None
+    return notes.where((F.col("path") == path) & exclusion_reason(settings, F.col("path"), F.col("tags"), front).isNull())
+
+
 def register_ids(paths: DataFrame, known: DataFrame) -> DataFrame:
     """path, id: known ids for live paths, new ones from the path otherwise; dead paths go (S-12)."""
     old = known.select(F.col("path").alias("_p"), F.col("id").alias("_id"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import vectors as V
+from corpusloom.operators.collections import note_signatures
 from corpusloom.operators.ranks import share_of_group_below
-from corpusloom.operators.vectors import centroids
+from corpusloom.operators.review import Decisions
+from corpusloom.operators.vectors import centroids, knn_exact
 from corpusloom.plans.config import CHUNK_DISCOUNT, INCREMENTAL_PERCENTILE, MIN_MEMBERS, QUEUE_CAP, SIGNIFICANT_COSINE
 
 
@@ -77,6 +79,52 @@ def score_topics(notes: DataFrame, members: DataFrame, chunks: DataFrame | None
     return fit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("note_id", "rank", "index_id", "score", F.when(F.col("chunk_no") < 0, "document").otherwise("chunk").alias("via"), "chunk_no")
 
 
+def score_collections(notes: DataFrame, collections: DataFrame) -> DataFrame:
+    """note_id, index_id, score 1, via: collections whose signature a note carries (F-09).
+
+    notes: note_id, path, tags, low_content and perhaps kind.  collections: index_id, signature.
+    """
+    signed = note_signatures(notes, F.col("kind") if "kind" in notes.columns else None)
+    return signed.join(collections, "signature").select("note_id", "index_id", F.lit(1.0).alias("score"), F.lit("collection").alias("via"), F.lit(-1).cast("long").alias("chunk_no"))
+
+
+def suggest(notes: DataFrame, members: DataFrame, collections: DataFrame, chunks: DataFrame | None = None, limit: int = 3, least: float = INCREMENTAL_PERCENTILE) -> DataFrame:
+    """note_id, rank, index_id, score, via, chunk_no: the best topics and collections of single notes (R-07).
+
+    Notes of little text are looked up among collections alone.  notes: note_id, vector, path, tags, low_content.
+    """
+    full = notes.where("not low_content").select(F.col("note_id").alias("id"), "vector")
+    topics = score_topics(full, members, chunks, limit, least).select("note_id", "index_id", F.round("score", 3).alias("score"), "via", "chunk_no")
+    order = Window.partitionBy("note_id").orderBy(F.col("score").desc(), F.col("via") != "collection", "index_id")
+    both = topics.unionByName(score_collections(notes, collections)).withColumn("rank", F.row_number().over(order))
+    return both.where(F.col("rank") <= limit).select("note_id", "rank", "index_id", "score", "via", "chunk_no")
+
+
+def attach_similar(items: DataFrame, notes: DataFrame, vectors: DataFrame, first: int = 4) -> DataFrame:
+    """Queue items with ``similar``: the ids of the nearest other notes, nearest first (R-09).
+
+    notes: note_id, vector of the items; vectors: id, vector of all notes.
+    """
+    asked = items.select("note_id").join(notes, "note_id").select(F.col("note_id").alias("id"), "vector")
+    near = knn_exact(asked, vectors, first).groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]).alias("similar"))
+    return items.join(near, items["note_id"] == near["src"], "left").drop("src")
+
+
+def assigned(outcomes: DataFrame) -> DataFrame:
+    """index_id, note_id: what is added without asking, for notes that had no index (R-10)."""
+    return outcomes.where("status = 'assigned'").select(F.col("best_index").alias("index_id"), "note_id")
+
+
+def accept(decisions: Decisions, queue: DataFrame, note: str, index: str) -> tuple[Decisions, DataFrame]:
+    """A suggestion taken: the note is added to the index and leaves the queue (R-11)."""
+    return decisions.add(index, note), dismiss(queue, note)
+
+
+def dismiss(queue: DataFrame, note: str) -> DataFrame:
+    """The queue without a note's item."""
+    return queue.where(~F.col("note_id").cast("string").eqNullSafe(F.lit(note)))
+
+
 def fresh_suggestions(suggestions: DataFrame, memberships: DataFrame) -> DataFrame:
     """Suggestions for indexes a note isn't in yet (J-13)."""
     return suggestions.join(memberships.select("note_id", "index_id"), ["note_id", "index_id"], "left_anti")
