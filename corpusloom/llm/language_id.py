@@ -13,7 +13,8 @@ rows, half of them each.  Prediction reads every whole text and nothing else.
 Defined cases.  Null text and text without a letter: ``und``, score 0, rejected.  No training row: every
 text is ``und`` with score 0 and rejected.  Ties go to the language that sorts first.  Repeated rows are
 predicted alike; rows of null id or null language are predicted but never learnt from.  Very long texts
-are read in slices of bounded memory and counted whole.
+are read in slices of bounded memory and counted whole.  An empty table gives an empty table.  Columns besides id, text and
+language are not read; ``filter_rejected`` carries them along, whatever their names.
 """
 
 from __future__ import annotations

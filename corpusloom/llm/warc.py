@@ -5,9 +5,10 @@ the latest full response of the same canonical URL strictly before it.  The revi
 with that response's; then the record takes its payload, status and headers, updated by those headers of the
 304 that it may change.
 
-The as-of join is a window inside (URL, time bucket) plus each bucket's carry: the last full response of
-earlier buckets, from a window over one row a bucket.  So a URL that holds a large part of all records is
-split over its buckets.  Payloads are never moved; records carry the digest and the id to fetch them by.
+The as-of join is a window inside ranges of (URL, time, ...) plus each range's carry: the last full response of
+the URL in earlier ranges, from a window over one row for each range and URL.  So a URL that holds a large part of
+all records is split over ranges, however close in time they are.  Payloads are never moved; records carry the digest and
+the id to fetch them by.
 
 Outcomes.  ``full``: a response.  ``resolved``.  ``mismatch``: the latest earlier response has other
 validators.  ``unverified``: no validator to compare.  ``orphan``: no earlier response, or url or time null.
@@ -15,8 +16,8 @@ validators.  ``unverified``: no validator to compare.  ``orphan``: no earlier re
 Defined cases.  Responses of the same URL and time: the larger record id counts as later; a revisit at the
 very time of a response doesn't see it.  ETags compare weakly (RFC 9110, 8.8.3.2) and come before
 Last-Modified, which must be equal.  Header names are lower-cased; of names that then clash the last stands.
-Null headers are no headers.  Repeated records are resolved alike.  An empty table gives an empty table.
-Other columns are not read.
+Null headers are no headers; a null kind is no response.  Repeated records are resolved alike.  Very long URLs, headers and
+payloads are taken whole.  An empty table gives an empty table.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,27 +61,28 @@ def _weak(etag: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(etag), "^W/", ""), F.lit(""))
 
 
-def resolve_revisits(records: DataFrame, *, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """records: record_id, url, ts (seconds or timestamp), kind (response or revisit), status, etag, last_modified, headers (map), payload_digest.
 
     Per record: record_id, url_key, kind, outcome, source_id, status, headers and payload_digest.
     """
     micros = F.col("ts").cast("timestamp").cast("decimal(38,6)") * 1_000_000 if dict(records.dtypes)["ts"].startswith("timestamp") else F.col("ts").cast("decimal(38,6)") * 1_000_000
     rows = records.select(
-        "record_id", canonical_url(F.col("url")).alias("url_key"), micros.cast("long").alias("_at"), (F.col("kind") == "response").alias("_full"), "kind", F.col("status").cast("int").alias("status"),
+        "record_id", canonical_url(F.col("url")).alias("url_key"), micros.cast("long").alias("_at"), F.coalesce(F.col("kind") == "response", F.lit(False)).alias("_full"), "kind", F.col("status").cast("int").alias("status"),
         F.nullif(F.trim("etag"), F.lit("")).alias("etag"), F.nullif(F.trim("last_modified"), F.lit("")).alias("last_modified"), lower_names(F.col("headers")).alias("headers"), "payload_digest",
-    ).withColumn("_bucket", F.expr(f"_at div {bucket_seconds * 1_000_000}"))
+    )
     response = F.struct(F.col("_at").alias("at"), F.col("record_id").alias("id"), "status", "etag", "last_modified", "headers", "payload_digest")
     usable = F.col("url_key").isNotNull() & F.col("_at").isNotNull()
-    timed = rows.where(usable)
-
-    in_bucket = Window.partitionBy("url_key", "_bucket").orderBy("_at", "_full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = timed.withColumn("_near", F.last(F.when(F.col("_full"), response), ignorenulls=True).over(in_bucket))
-    # The last full response of a bucket; null orders are passed over.
-    marks = timed.groupBy("url_key", "_bucket").agg(F.max_by(response, F.when(F.col("_full"), F.struct("_at", "record_id"))).alias("_end"))
-    earlier = Window.partitionBy("url_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = marks.select("url_key", "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")).where("_carry is not null")
-    found = near.join(carry, ["url_key", "_bucket"], "left").withColumn("_was", F.when(~F.col("_full"), F.coalesce("_near", "_carry")))
+    ranges = rows.where(usable).repartitionByRange("url_key", "_at", "_full", "record_id")
+    timed = materialize(ranges.withColumn("_range", F.spark_partition_id()), "records")
+
+    inside = Window.partitionBy("_range", "url_key").orderBy("_at", "_full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = timed.withColumn("_near", F.last(F.when(F.col("_full"), response), ignorenulls=True).over(inside))
+    # The last full response of a range; null orders are passed over.
+    marks = timed.groupBy("url_key", "_range").agg(F.max_by(response, F.when(F.col("_full"), F.struct("_at", "record_id"))).alias("_end"))
+    earlier = Window.partitionBy("url_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = marks.select("url_key", "_range", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")).where("_carry is not null")
+    found = near.join(carry, ["url_key", "_range"], "left").withColumn("_was", F.when(~F.col("_full"), F.coalesce("_near", "_carry")))
     lost = rows.where(~usable).withColumn("_was", F.lit(None).cast(found.schema["_was"].dataType))
     found = found.select(*lost.columns).unionByName(lost)
 
