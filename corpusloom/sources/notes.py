@@ -9,15 +9,15 @@ from corpusloom.functions import text as T
 from corpusloom.plans.config import Settings
 
 
-#: Files of less than this a core may hold fewer row groups, and so tasks, than there are cores.
-SPREAD_BYTES = 4 << 20
+#: Files of less than this a core may hold fewer row groups, and so tasks, than there are cores; far smaller ones aren't worth a shuffle.
+SPREAD_BYTES, LEAST_BYTES = 4 << 20, 1 << 18
 
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a small scan dealt evenly over all cores; scans that are large enough stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    return df.repartition(cores) if LEAST_BYTES < size < cores * SPREAD_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
