@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import evaluate, keywords, review, vectors
+from corpusloom.operators import evaluate, keywords, review, templates, vectors
 from corpusloom.plans.catalogue_flow import _EFFECTIVE, DECISIONS, _proposals
 from corpusloom.plans.catalogue_graph import _CELLS, _CENTRES, _V, _knn, _neighbours, _nmi, _vectors
-from corpusloom.plans.catalogue_text import _NOTES, _TAGGED, _TF, _TOKENS, _notes
+from corpusloom.plans.catalogue_text import _BODIES, _LINES, _NOTES, _TAGGED, _TF, _TOKENS, _notes
 from corpusloom.sources.notes import resolve_links as resolve
 from corpusloom.sources.notes import table
 from corpusloom.streaming import incremental, progress
@@ -131,7 +131,12 @@ def proposals_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.proposals_score(placed, rows.select("id", "label")).select(F.round("coverage", 9).alias("coverage"), F.round("purity", 9).alias("purity"), F.round("nmi", 9).alias("nmi"))
 
 
-QUERIES = {f.__name__: f for f in (cluster_sizes, sampled_notes, remaining_time, shown_members, live_members, merged_index_keywords, split_proposal, neighbour_lists, seeded_suggestions, label_bank_names, best_chunk_topics, collection_suggestions, resolved_links, contrast_keywords, link_parts, proposals_score)}
+def prepared_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.prepared_notes(_notes(spark, sf_dir), 1 << 30)
+    return out.select("note_id", F.md5("text").alias("text_md5"), "body_chars")
+
+
+QUERIES = {f.__name__: f for f in (cluster_sizes, sampled_notes, remaining_time, shown_members, live_members, merged_index_keywords, split_proposal, neighbour_lists, seeded_suggestions, label_bank_names, best_chunk_topics, collection_suggestions, resolved_links, contrast_keywords, link_parts, proposals_score, prepared_notes)}
 
 _FIRST = """r AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY index_id <> 'ix9' DESC, CASE WHEN note_id IN ('7', '8') THEN index_id = 'ix5' ELSE false END DESC, prim DESC, CASE WHEN prim THEN score END DESC NULLS LAST, index_id) AS k FROM k),
   eff AS (SELECT index_id, note_id, score, CASE WHEN index_id <> 'ix9' THEN k = 1 ELSE prim END AS is_primary, manual, index_id = 'ix9' AS ignored FROM r)"""
@@ -172,6 +177,7 @@ ORACLES = {
       r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, stem) AS rank FROM s) SELECT lang AS "group", rank, stem, round(score, 9) AS score FROM r WHERE rank <= 8""",
     "link_parts": """SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN doc_id % 4 = 1 END AS embed, CASE WHEN doc_id % 4 < 3 THEN source || '/' || doc_id END AS target, CASE WHEN doc_id % 4 = 1 THEN '#part' WHEN doc_id % 4 < 3 THEN '' END AS sub,
       CASE WHEN doc_id % 4 = 1 THEN lang END AS alias, CASE WHEN doc_id % 4 < 3 THEN doc_id::VARCHAR END AS gold FROM documents""",
+    "prepared_notes": f"WITH {_NOTES}, {_LINES}, {_BODIES} SELECT id AS note_id, md5(title || chr(10) || coalesce(array_to_string(body, chr(10)), '')) AS text_md5, length(coalesce(array_to_string(body, chr(10)), ''))::BIGINT AS body_chars FROM bodies",
     "proposals_score": f"""WITH {_V}, c AS (SELECT label, label * 3 + id % 2 AS cluster FROM v WHERE id % 3 <> 0), {_nmi('c', 'n1')}, b AS (SELECT cluster, max(n) AS top FROM (SELECT label, cluster, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1)
       SELECT round((SELECT count(*) FROM c) / (SELECT count(*) FROM v), 9) AS coverage, round((SELECT sum(top) FROM b) / (SELECT count(*) FROM c), 9) AS purity, (SELECT round(v, 9) FROM n1) AS nmi""",
 }

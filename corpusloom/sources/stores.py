@@ -103,3 +103,8 @@ def decisions_of(table: DataFrame) -> Decisions:
     for r in table.orderBy("kind", "seq").collect():
         found.setdefault(r.kind, []).append(r.key if r.kind in ("ignored", "splits") else (r.key, r.value))
     return Decisions(**{k: tuple(v) for k, v in found.items()})
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report, which is small, as one JSON file in a folder (S-15)."""
+    report.coalesce(1).write.mode("overwrite").json(path)
