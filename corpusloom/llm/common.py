@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.notes import spread
 from corpusloom.sources.scratch import delete, materialize, new_path, owned, release, scratch_root
 
 __all__ = ["delete", "materialize", "new_path", "owned", "release", "scratch_root"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sha256_hex(data: bytes) -> str:
@@ -90,6 +91,15 @@ def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, heavy_keys: DataFram
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
+#: Tables of at most so many narrow rows are broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of a known number of narrow rows, marked for a broadcast if they are few; else it meets its partner in a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered; forgets all at a bounded number of words."""
 

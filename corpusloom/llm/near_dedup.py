@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, as_bytes, batches, dealt_join, heavy, materialize, mix64, seeded64, two
+from corpusloom.llm.common import WordHashes, as_bytes, batches, broadcast_if_few, dealt_join, heavy, materialize, mix64, seeded64, two
 from corpusloom.llm.graph import Forest, components
 
 SHINGLE = 5
@@ -45,9 +45,9 @@ _FACTORS = (seeded64(HASHES, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(
 WIDE = 1024
 _WIDE_FACTORS = (seeded64(WIDE, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Members of a bucket that meet in one task, first by signatures alone, then by so many bytes of their sets.
-SLICE_ROWS, SLICE_BYTES = 16_384, 48 << 20
+SLICE_ROWS, SLICE_BYTES = 16_384, 24 << 20
 #: Rows or bytes gathered before the complete groups among them are worked on.
-GATHER_ROWS, GATHER_BYTES = 8192, 32 << 20
+GATHER_ROWS, GATHER_BYTES = 8192, 16 << 20
 _BAND_PLACES = seeded64(ROWS, 3) | np.uint64(1)
 _BAND_SALTS = seeded64(BANDS, 4)
 PACKED = [f"s{k}" for k in range(HASHES * LOW_BITS // 64)]
@@ -153,12 +153,19 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, shingles, wide: full sets and long signatures of the wanted (cls, rep, digest), one row a class."""
+    """cls, shingles, wide: full sets and long signatures of the wanted (cls, rep, digest); rows that share id and text repeat theirs."""
+    rows = wanted.count()
     ids = wanted.select(F.col("rep").alias("_want")).distinct()
-    texts = src.join(ids, src["_id"] == ids["_want"], "left_semi").select("_text")
+    texts = src.join(broadcast_if_few(ids, rows), src["_id"] == ids["_want"], "left_semi").select("_text")
     found = texts.mapInArrow(_sets, "digest binary, shingles binary, wide binary")
-    found = found.join(wanted.select("cls", F.col("digest").alias("_own")), F.col("digest") == F.col("_own"))
-    return materialize(found.select("cls", "shingles", "wide").dropDuplicates(["cls"]), "sets")
+    own = wanted.select("cls", F.col("digest").alias("_own"))
+    found = found.join(broadcast_if_few(own, rows), F.col("digest") == F.col("_own"))
+    return materialize(found.select("cls", "shingles", "wide"), "sets")
+
+
+def one_each(sets: DataFrame, *columns: str) -> DataFrame:
+    """The columns of one row for each class."""
+    return sets.groupBy("cls").agg(F.first(F.struct(*columns)).alias("_s")).select("cls", "_s.*")
 
 
 def common(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -192,7 +199,7 @@ def confirm(pairs: DataFrame, src: DataFrame, classes: DataFrame, percent: int)
     both = pairs.select(F.explode(F.array("leader", "cls")).alias("_want")).distinct()
     known = classes.select("cls", "rep", "digest")
     wanted = materialize(known.join(both, known["cls"] == both["_want"], "left_semi"), "wanted")
-    sets = full_sets(src, wanted).join(wanted.select(F.col("cls").alias("_c"), "rep"), F.col("cls") == F.col("_c")).drop("_c", "wide")
+    sets = one_each(full_sets(src, wanted), "shingles").join(wanted.select("cls", "rep"), "cls")
     one = sets.select(F.col("cls").alias("leader"), F.col("rep").alias("a"), F.col("shingles").alias("_x"))
     other = sets.select("cls", F.col("rep").alias("b"), F.col("shingles").alias("_y"))
     counts = pairs.groupBy("leader").agg(F.count("*").alias("k"))
@@ -388,7 +395,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flagged = materialize(flagged.distinct(), "flagged")
     known = classes.select("cls", "rep", "digest", "n", *PACKED, "bands")
     wanted = materialize(known.join(flagged.select(F.col("cls").alias("_w")).distinct(), F.col("cls") == F.col("_w"), "left_semi"), "wanted")
-    rich = wanted.join(full_sets(src, wanted.select("cls", "rep", "digest")), "cls").drop("rep", "digest")
+    rich = one_each(full_sets(src, wanted.select("cls", "rep", "digest")), "shingles", "wide").join(wanted.drop("rep", "digest"), "cls")
     open_ = materialize(in_slices(flagged.join(wanted.select("cls", "n"), "cls"), F.col("n") * 8 + 1024, SLICE_BYTES).drop("n"), "flagged")
     links = met(open_.join(rich, "cls")).mapInArrow(_link(percent), "a long, b long")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
