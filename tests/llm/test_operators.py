@@ -654,6 +654,71 @@ def test_warc_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    pools = {"en": "the and of to in that it was for on are with as his they be at one have this from".split(), "fr": "le de un et être avoir que pour dans ce il qui ne sur se pas plus pouvoir par je".split()}
+    line = lambda lang, n: " ".join(rng.choices(pools[lang], k=n))
+    shared = {lang: line(lang, 14) for lang in pools}
+    passage = line("en", 12)
+    rows = []
+    for i in range(160):
+        lang = ("en", "fr")[i % 2]
+        lines = [line(lang, rng.randint(5, 30)) for _ in range(rng.randint(1, 5))] + [shared[lang].upper()] * (i % 3 == 0) + [passage] * (i % 40 == 4)
+        rows.append((i, "\n".join(lines), lang))
+    for i in range(160, 190):  # loose copies
+        words = rows[i % 4][1].split(" ")
+        rows.append((i, " ".join(w if rng.random() > 0.004 * (i - 160) else "avoir" for w in words), rows[i % 4][2]))
+    rows += [(190, None, "en"), (191, "", "fr"), (192, "12 34", "en"), (193, line("en", 40_000), "en"), (None, rows[3][1], "fr"), rows[5], rows[5], (194, "Съешь же ещё этих мягких французских булок", None)]
+    schema = S.StructType([*DOCS.fields[:5], S.StructField("_drops", S.StringType()), S.StructField("_gone", S.LongType())])
+    df = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "own", 7) for i, t, lang in rows], schema)
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language_id.fit(docs, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, F.lit(False)))
+    left = [(i, t) for (i, t, _), (_, _, gone) in zip(rows, language_id.predict(model, [t for _, t, _ in rows]), strict=True) if not gone]
+    assert 150 < len(left) < len(rows) - 3
+
+    where: dict = {}
+    for i, t in left:
+        for x in t.split("\n"):
+            if i is not None and len(x.strip()) >= 40:
+                where.setdefault(lower(x.strip()), set()).add(i)
+    keeper = {k: max(v) for k, v in where.items() if len(v) >= 5}
+    assert keeper
+    left = [(i, "\n".join(x for x in t.split("\n") if keeper.get(lower(x.strip()), i) == i)) for i, t in left]
+    known = [(i, t) for i, t in left if i is not None]
+    group = groups_of([i for i, _ in known], shingle_sets([t for _, t in known]))
+    assert sum(group[i] != i for i in group) > 5
+    left = [(i, t) for i, t in left if i is None or group[i] == i]
+    gram = lambda t: {tuple(w[k : k + 10]) for w in [words_of(t)] for k in range(len(w) - 9)}
+    clean = [(i, t) for i, t in left if not gram(t) & gram(passage)]
+    assert len(clean) < len(left)
+
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    want = Counter()
+    for i, t in clean:
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(tuple(r) for r in out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+    stage = docs
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        stage = function(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns, name
+        stage.write.parquet(f"{tmp_path}/{name}")
+        stage = spark.read.parquet(f"{tmp_path}/{name}")
+    assert {r._gone for r in stage.select("_gone").collect()} == {7}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([("q", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_stages_keep_the_schema(spark, tmp_path):
     import corpus_pipeline
 
