@@ -70,6 +70,7 @@ DIGITS = Rewrite("[0-9]+", by="#")
 SPACES = Rewrite(f"{WS}+", by=" ")
 NO_SPACE = Rewrite(f"{WS}+", by="")
 TAG_SEPARATORS = Rewrite("[/_-]+", by=" ")
+#: What a file name may not hold and may not end with.
 FILE_ILLEGAL = Rewrite(r'[\\/:*?"<>|#^\[\]]', by=" ")
 FILE_TAIL = Rewrite("[. ]+$", by="")
 

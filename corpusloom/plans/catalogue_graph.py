@@ -54,6 +54,12 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn_exact(rows.where("id % 50 = 0"), rows, K).select("src", F.col("rank").cast("long").alias("rank"), "dst", F.round("score", 6).alias("score"))
 
 
+def knn_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same query set without a broadcast, by pairs of row groups."""
+    rows = _vectors(spark, sf_dir)
+    return vectors.knn_blocks(rows.where("id % 50 = 0"), rows, K, 3).select("src", F.col("rank").cast("long").alias("rank"), "dst", F.round("score", 6).alias("score"))
+
+
 def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the cell index, every row indexed, against the exact neighbours of the query set."""
     rows = _vectors(spark, sf_dir)
@@ -184,7 +190,7 @@ def cache_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta(docs, cached)
 
 
-QUERIES = {f.__name__: f for f in (vector_norms, mean_vector, centered_vectors, label_centroids, knn_exact, knn_ivf_recall, hubness, seeded_loo, score_quantiles, hybrid_edges, semantic_edges, connected_components, louvain_communities, refined_communities, community_centrality, partition_quality, member_confidence, note_index_scores, topic_memberships, related_topics, incremental_suggestions, significant_changes, cache_delta)}
+QUERIES = {f.__name__: f for f in (vector_norms, mean_vector, centered_vectors, label_centroids, knn_exact, knn_block, knn_ivf_recall, hubness, seeded_loo, score_quantiles, hybrid_edges, semantic_edges, connected_components, louvain_communities, refined_communities, community_centrality, partition_quality, member_confidence, note_index_scores, topic_memberships, related_topics, incremental_suggestions, significant_changes, cache_delta)}
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label::BIGINT AS label FROM embeddings)"
 _CELLS = "cells AS (SELECT id, label, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS value FROM v)"
@@ -214,6 +220,7 @@ ORACLES = {
       l AS (SELECT id, sqrt(sum(value * value)) AS n, max(CASE WHEN pos = 0 THEN value END) AS f FROM d GROUP BY id) SELECT id, round(f / n, 6) AS "first", 1.0::DOUBLE AS norm FROM l""",
     "label_centroids": f"WITH {_V}, {_CELLS}, {_CENTRES} SELECT label, size, pos, round(value / n, 6) AS value FROM raw JOIN length USING (label) JOIN (SELECT label, count(*) AS size FROM v GROUP BY label) USING (label)",
     "knn_exact": f"WITH {_V}, {_knn(K, 'a.id % 50 = 0')} SELECT * FROM knn",
+    "knn_block": f"WITH {_V}, {_knn(K, 'a.id % 50 = 0')} SELECT * FROM knn",
     "hubness": f"""WITH {_V}, {_knn(5)}, deg AS (SELECT id, count(dst) AS d FROM v LEFT JOIN knn ON dst = id GROUP BY id), top AS (SELECT sum(d) AS t FROM (SELECT d, row_number() OVER (ORDER BY d DESC, id) AS r FROM deg) WHERE r <= greatest(1, ceil((SELECT count(*) FROM v) / 100)))
       SELECT (SELECT round(avg((a.label = b.label)::INT), 9) FROM knn JOIN v a ON a.id = src JOIN v b ON b.id = dst) AS label_agreement, (SELECT max(d) FROM deg) AS max_in_degree,
              round((SELECT t FROM top) / (SELECT sum(d) FROM deg), 9) AS top_share, (SELECT count(*) FROM deg WHERE d = 0) AS zero_in_degree""",
