@@ -6,16 +6,17 @@ gathered in one place.  N-grams are smoothed by absolute discounting, interpolat
 context, so each state's probabilities sum to one.  States are the contexts of kept n-grams, a failure arc leads from a
 context to the longest shorter one and carries its backoff weight.
 
-Documents are encoded in blocks with a dictionary of their own.  Each block's distinct words are counted in a
-shuffle by word; its distinct n-grams go, packed, to buckets by a hash of the context, where their counts are
-summed.  Every block gets back the counts and the contexts' weights of its own words and n-grams only: the part of
+Documents are encoded in blocks with a dictionary of their own.  Each block's distinct words and n-grams go, packed,
+to buckets by a hash of the word or the context, where their counts are summed.  Every block gets back the counts and the contexts' weights of its own words and n-grams only: the part of
 the automaton that its documents can reach.  All positions of a block walk it at once.  The contexts of the most
-frequent words (at most HOT_WORDS of them, a matter of load only) are split over several buckets.  N-grams are told
-apart by 64 bits of the context and 40 or 48 of the last word.
+frequent words (at most HOT_WORDS of them, a matter of load only) are split over several buckets.  Words are told
+apart by 64-bit hashes, n-grams by 64 bits made of the context and 40 or 48 bits of the last word.
 
 Defined cases.  Null is empty; an empty text is the end token alone.  Rows of null id are scored, not learnt
 from, and count as not held out.  Rows that share an id are documents each.  Without training tokens N = V = 0
-and every token has the probability of an unknown word, 1.  Very long texts are one document of a block, whole.
+and every token has the probability of an unknown word, 1.  Very long texts are one document of a block, whole.  Ties don't
+arise: counts and hashes settle all orders.  An empty table gives an empty table.  Columns besides id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import as_bytes, materialize, mix64
@@ -69,27 +70,19 @@ def unpack_codes(data: bytes) -> np.ndarray:
 
 
 BLOCK = [("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("hashes", pa.binary())]
-ENCODED = pa.schema([("block", pa.int64()), *BLOCK, ("word", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
-ENCODED_DDL = "block long, ids array<long>, held_out array<boolean>, learn array<boolean>, sizes array<long>, codes binary, hashes binary, word binary, code int, n long"
+ENCODED = pa.schema([("block", pa.int64()), *BLOCK])
+ENCODED_DDL = "block long, ids array<long>, held_out array<boolean>, learn array<boolean>, sizes array<long>, codes binary, hashes binary"
 
 
 def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block, its documents as codes of the block's dictionary; then the dictionary with training counts."""
+    """A row for each block: its documents as codes of the block's dictionary, and the hashes of the dictionary's words."""
     part, chunk = TaskContext.get().partitionId(), 0
 
-    def whole(codes: _Codes, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        block, words = part << 24 | chunk, list(codes)
-        counts = np.zeros(len(words), np.int64)
-        if learnt := [unpack_codes(d[3]) for d in docs if d[2]]:
-            counts += np.bincount(np.concatenate(learnt), minlength=len(words))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).tobytes()
+    def whole(codes: _Codes, docs: list[tuple]) -> pa.RecordBatch:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, codes), np.uint64, len(codes)).tobytes()
         codes_of = pack_codes(np.concatenate([unpack_codes(d[3]) for d in docs]))
         own = [[d[0] for d in docs], [d[1] for d in docs], [d[2] for d in docs], [len(d[3]) // 3 for d in docs], codes_of, hashes]
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([v], f[1]) for v, f in zip(own, BLOCK, strict=True)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], schema=ENCODED)
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(pa.nulls(n, f[1]) for f in BLOCK), pa.array(some, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(counts[at : at + n])], schema=ENCODED)
+        return pa.RecordBatch.from_arrays([pa.array([part << 24 | chunk], pa.int64()), *(pa.array([v], f[1]) for v, f in zip(own, BLOCK, strict=True))], schema=ENCODED)
 
     codes, docs, held = _Codes(), [], 0
     for batch in it:
@@ -101,10 +94,10 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs.append((i, h, l, pack_codes(np.fromiter(map(codes.__getitem__, own), np.int64, len(own)))))
                 held += len(own)
                 if held >= BLOCK_TOKENS or len(codes) >= BLOCK_WORDS:
-                    yield from whole(codes, docs)
+                    yield whole(codes, docs)
                     codes, docs, held, chunk = _Codes(), [], 0, chunk + 1
     if docs:
-        yield from whole(codes, docs)
+        yield whole(codes, docs)
 
 
 def _planes(x: np.ndarray, width: int = 8) -> bytes:
@@ -121,10 +114,10 @@ def _from_planes(data: bytes, width: int = 8) -> np.ndarray:
 class Hot:
     """The most frequent words' hashes and into how many parts their contexts are split."""
 
-    def __init__(self, counts: dict[bytes, int], total: int) -> None:
-        words = sorted((xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items())
-        self.words = np.array([h for h, _ in words], np.uint64)
-        self.parts = np.array([-(-n * HOT_WORDS // total) for _, n in words], np.int64)
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int) -> None:
+        by = np.argsort(words)
+        self.words = words[by]
+        self.parts = -(-counts[by] * HOT_WORDS // max(total, 1))
 
     def parts_of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -201,6 +194,63 @@ class Grams:
         return slice(self.limits[at], self.limits[at + 1])
 
 
+class Words:
+    """The words of a block, ordered by the bucket they are sent to."""
+
+    def __init__(self, hashes: np.ndarray, buckets: int) -> None:
+        self.by = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.by]
+        bucket = (self.sorted >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        self.buckets, starts = np.unique(bucket.astype(np.int64), return_index=True)
+        self.limits = np.append(starts, len(bucket))
+
+    def of(self, bucket: int) -> slice:
+        at = np.searchsorted(self.buckets, bucket)
+        return slice(self.limits[at], self.limits[at + 1])
+
+
+WORDS_DDL = "block long, bucket int, words binary, n binary"
+
+
+def _send_words(buckets: int):
+    """Packed words of each block with their training counts, a row for each bucket."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                codes, sizes, hashes = _block(row)
+                words = Words(hashes, buckets)
+                n = np.bincount(codes[np.repeat(np.array(row["learn"], bool), sizes)], minlength=len(hashes))[words.by]
+                for b in words.buckets.tolist():
+                    own = words.of(b)
+                    values = [_planes(np.diff(words.sorted[own], prepend=np.uint64(0))), _planes(n[own], 4)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([b], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["block", "bucket", "words", "n"])
+
+    return run
+
+
+def _sum_words(total: int):
+    """Per block: totals of its words.  With block -1: the bucket's most frequent words, their totals, and how many words were learnt."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, blocks = rows.column("bucket")[0].as_py(), rows.column("block").to_pylist()
+        each = [np.cumsum(_from_planes(v)) for v in rows.column("words").to_pylist()]
+        n = np.concatenate([_from_planes(v, 4) for v in rows.column("n").to_pylist()])
+        words, which = numbered(np.concatenate(each))
+        totals = np.bincount(which, weights=n).astype(np.int64)
+        pack = lambda x: zlib.compress(_planes(x), 1)
+        out, at = [], 0
+        for block, own in zip(blocks, each, strict=True):
+            out.append((block, 1, bucket, pack(totals[which[at : at + len(own)]]), None, None))
+            at += len(own)
+        hot = totals * HOT_WORDS > total
+        out.append((-1, 1, bucket, pack(words[hot]), pack(totals[hot]), pack(np.array([(totals > 0).sum()]))))
+        return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(COUNTED)], schema=COUNTED)
+
+    return run
+
+
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpack_codes(row["codes"]), np.array(row["sizes"], np.int64), np.frombuffer(row["hashes"], np.uint64)
 
@@ -398,12 +448,12 @@ def _score(total: int, distinct: int, order: int, hot, buckets: int, split):
             return SCORED.empty_table()
         row = docs.to_pylist()[0]
         codes, sizes, hashes = _block(row)
-        words = sent.filter(sent.column("code").is_valid())
-        counts = np.zeros(len(hashes), np.int64)
-        counts[words.column("code").to_numpy()] = words.column("total").to_numpy()
         found: dict[int, list[tuple]] = defaultdict(list)
-        for r in sent.filter(sent.column("order").is_valid()).select(["order", "bucket", "totals", "sums", "kinds"]).to_pylist():
+        for r in sent.select(["order", "bucket", "totals", "sums", "kinds"]).to_pylist():
             found[r["order"]].append((r["bucket"], r["totals"], r["sums"], r["kinds"]))
+        counts, words = np.zeros(len(hashes), np.int64), Words(hashes, buckets)
+        for bucket, totals, _, _ in found[1]:
+            counts[words.by[words.of(bucket)]] = _unpack(totals)
         plain = np.log10((counts + ADD) / (total + ADD * (distinct + 1)))
         each = _walk(codes, sizes, hashes, counts, plain, order, found, hot.value, buckets, split.value)
         first = np.cumsum(sizes) - sizes  # every document has a token
@@ -425,26 +475,26 @@ def score_documents(docs: DataFrame, learn: Column, held_out: Column, id_col: st
     sc = spark.sparkContext
     src = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"), held_out.alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"))
     encoded = materialize(src.mapInArrow(_encode, ENCODED_DDL), "encoded")
-    blocks = encoded.where("codes is not null").select("block", "ids", "held_out", "learn", "sizes", "codes", "hashes")
-    dictionary = encoded.where("word is not null").select("block", "word", "code", "n")
-    total = int(dictionary.agg(F.sum("n")).first()[0] or 0)
-    by_word = Window.partitionBy("word")
-    counted = dictionary.withColumn("total", F.sum("n").over(by_word)).withColumn("_nth", F.row_number().over(by_word.orderBy("block")))
-    first = F.col("_nth") == 1
-    counted = materialize(counted.select("block", "code", "total", first.alias("_first"), F.when(first & (F.col("total") * HOT_WORDS > total), F.col("word")).alias("hot")), "word-counts")
-    distinct = counted.where("_first and total > 0").count()
-    hot = sc.broadcast(Hot({bytes(r.hot): r.total for r in counted.where("hot is not null").select("hot", "total").collect()}, total))
-
+    tokens = F.zip_with("sizes", "learn", lambda n, yes: F.when(yes, n).otherwise(0))
+    total = int(encoded.agg(F.sum(F.aggregate(tokens, F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0)
     buckets = max(1, -(-total // BUCKET_TOKENS))
-    sent = counted.select("block", "code", "total", *(F.lit(None).cast(t).alias(c) for c, t in (("order", "int"), ("bucket", "int"), ("totals", "binary"), ("sums", "binary"), ("kinds", "binary"))))
+    blocks = encoded.select("block", "learn", "sizes", "codes", "hashes")
+    counted = blocks.mapInArrow(_send_words(buckets), WORDS_DDL).groupBy("bucket").applyInArrow(_sum_words(total), COUNTED_DDL)
+    sent = materialize(counted, "word-counts")
+    about = sent.where("block < 0").select("totals", "sums", "kinds").collect()  # at most HOT_WORDS words, and a number for each bucket
+    distinct = sum(int(_unpack(bytes(r.kinds))[0]) for r in about)
+    frequent = [np.concatenate([np.zeros(0, np.int64), *(_unpack(bytes(r[c])) for r in about)]) for c in ("totals", "sums")]
+    hot = sc.broadcast(Hot(frequent[0].astype(np.uint64), frequent[1], total))
+    sent = sent.where("block >= 0")
+
     split = {}
     for n in range(2, order + 1):
         parts = sc.broadcast(hot.value.contexts(n))
-        packed = blocks.select("block", "learn", "sizes", "codes", "hashes").mapInArrow(_send(n, hot, buckets), GRAMS_DDL)
+        packed = blocks.mapInArrow(_send(n, hot, buckets), GRAMS_DDL)
         grams = materialize(packed.groupBy("bucket").applyInArrow(_sum(n, max(MIN_COUNT, gram_share * total), parts), COUNTED_DDL), f"grams-{n}")
         split[n] = _whole(parts.value, grams.where("block < 0").select("totals", "sums", "kinds").collect())
-        sent = sent.unionByName(grams.where("block >= 0").select("block", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("total"), "order", "bucket", "totals", "sums", "kinds"))
-    pairs = blocks.groupBy("block").cogroup(sent.groupBy("block"))
+        sent = sent.unionByName(grams.where("block >= 0"))
+    pairs = encoded.groupBy("block").cogroup(sent.groupBy("block"))
     return pairs.applyInArrow(_score(total, distinct, order, hot, buckets, sc.broadcast(split)), SCORED_DDL).withColumnRenamed("_id", id_col)
 
 
