@@ -143,14 +143,16 @@ def outcome(row_excluded: Column, unchanged: Column, suggested: Column, ask: boo
     return F.when(row_excluded, "excluded").when(unchanged, "unchanged").when(suggested == 0, "no-new-indexes").when(F.lit(not ask) & ~has_index, "assigned").otherwise("suggested")
 
 
-def process_batch(changed: DataFrame, members: DataFrame, memberships: DataFrame, queue: DataFrame, ask: bool = True) -> tuple[DataFrame, DataFrame]:
+def process_batch(changed: DataFrame, members: DataFrame, memberships: DataFrame, queue: DataFrame, ask: bool = True, collections: DataFrame | None = None, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcomes, queue) of one batch of changed notes (R-06, S12): stateless, so a replayed batch gives the same.
 
-    changed: note_id, path, created_at, excluded, before (vector or null), vector.
+    changed: note_id, path, created_at, excluded, before (vector or null), vector; with ``collections`` (index_id,
+    signature) also tags and low_content.  What is assigned without asking is ``assigned(outcomes)``.
     """
     alive = changed.where("not excluded")
     moved = alive.where(significant_change(F.col("before"), F.col("vector")))
-    offers = fresh_suggestions(score_topics(moved.select(F.col("note_id").alias("id"), "vector"), members), memberships)
+    scored = score_topics(moved.select(F.col("note_id").alias("id"), "vector"), members, chunks) if collections is None else suggest(moved, members, collections, chunks)
+    offers = fresh_suggestions(scored, memberships)
     each = offers.groupBy("note_id").agg(F.count("*").alias("offers"), F.array_sort(F.collect_list(F.struct("rank", "index_id", "score"))).alias("suggestions"))
     owned = memberships.select(F.col("note_id").alias("_m")).distinct()
     rows = changed.join(each, "note_id", "left").join(owned, F.col("note_id") == F.col("_m"), "left")

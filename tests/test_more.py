@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
-from corpusloom.operators import classify, evaluate, ranks, review, vectors
+from corpusloom.operators import chunks, classify, evaluate, ranks, review, vectors
 from corpusloom.operators.collections import any_signature, detect_collections
 from corpusloom.plans.config import Settings
 from corpusloom.sources import notes, scratch, stores
@@ -63,6 +63,26 @@ def test_a_note_suggested_accepted_dismissed(spark):
     assert [r.path for r in incremental.drop_own_writes(events, events.where("path = 'p'")).collect()] == ["q"]
 
 
+def test_a_batch_with_collections(spark):
+    members = spark.createDataFrame([(k, [1.0, 0.1 * k], "x") for k in range(5)], "id long, vector array<double>, index_id string")
+    changed = spark.createDataFrame([(1, "f/a.md", 1, False, None, [1.0, 0.2], ["film"], True), (2, "f/b.md", 2, False, None, [-1.0, 0.0], [], False)], "note_id long, path string, created_at long, excluded boolean, before array<double>, vector array<double>, tags array<string>, low_content boolean")
+    sets = spark.createDataFrame([("c", "#film")], "index_id string, signature string")
+    none, queue = spark.createDataFrame([], "note_id long, index_id string"), spark.createDataFrame([], "note_id long, path string, created_at long")
+    outcomes, _ = incremental.process_batch(changed, members, none, queue, ask=False, collections=sets)
+    assert {r.note_id: (r.status, r.best_index) for r in outcomes.collect()} == {1: ("assigned", "c"), 2: ("no-new-indexes", None)}
+    assert [tuple(r) for r in incremental.assigned(outcomes).collect()] == [("c", 1)]
+
+
+def test_chunks_in_sql_and_stability(spark):
+    chunks.register_udtf(spark)
+    body = "\n".join(f"# Part {k}\n" + "words and more of them. " * 60 for k in range(3))
+    spark.createDataFrame([(1, body, "T")], "id long, content string, title string").createOrReplaceTempView("notes_of_test")
+    rows = spark.sql("SELECT id, c.* FROM notes_of_test, LATERAL chunk_note(content, title) c ORDER BY chunk_no").collect()
+    assert [r.heading for r in rows] == ["Part 0", "Part 1", "Part 2"] and rows[0].start == 0
+    parts = [spark.createDataFrame([(k, k % n) for k in range(12)], "id long, community long") for n in (3, 3, 2)]
+    assert evaluate.seed_stability(parts[:2]) == pytest.approx(1) and evaluate.seed_stability(parts) < 1
+
+
 def test_remaining_time_and_steps(spark, tmp_path):
     log = spark.createDataFrame([("s", 0, 0, 100), ("s", 1000, 40, 100), ("s", 11_000, 50, 100), ("s", 21_000, 60, 100), ("s", 61_000, 100, 100), ("t", 5, 3, 9)], "stage string, at_ms long, done long, total long")
     got = {(r.stage, r.done): r.remaining_ms for r in progress.remaining(log).collect()}
