@@ -15,6 +15,8 @@ _TABLES: dict[str, list[str]] = {}
 _OWNER = threading.local()
 #: Lets shuffle files go as soon as the table they were made for is written.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds what a task and its Python worker hold of wide rows at once.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,13 +32,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    was = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    was = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,7 +54,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    with _cleaned(spark):
+    with _set(spark, {_CLEAN: "true", _BATCH: _BATCH_BYTES}):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
