@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import as_text, batches, two
+from corpusloom.llm.common import as_text, batches, give_back, two
 
 #: In a word's internal form each byte is one character; the last one, which carries the word end, is shifted by this.
 LAST = 0x100
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 300_000
 
 
 def printable_bytes() -> dict[int, str]:
@@ -144,11 +144,19 @@ class BacktrackingBPE:
         # Python's engine is several times faster with classes inside the basic plane, which hold for texts inside it.
         basic = {k: "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", v) if r < r"\U00010000") for k, v in c.items()}
         self.basic_words = re.compile(pattern.format_map(basic)).findall
-        # Characters younger than Python's tables, which the library may know how to compose and lower-case.
-        self.unknown = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned()) + "]").search
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+        # Characters younger than Python's tables, which the library may know how to compose and lower-case.
+        young = [f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned()]
+        self.unknown = re.compile(f"[{''.join(young)}]").search
+        self.basic_unknown = re.compile(f"[{''.join(r for r in young if r < '\\U00010000')}]").search
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
+    def forget(self) -> None:
+        """Drop what was remembered of words and pairs."""
+        self.ids_of.clear()
+        self.said_of.clear()
+        self.compatible.clear()
+
     def apart(self, a: int, b: int) -> bool:
         """Whether merging the symbols of a and b in rank order leaves exactly these two tokens.
 
@@ -216,7 +224,7 @@ class BacktrackingBPE:
         return np.array(self.encode_word(raw[:-1] + chr(ord(raw[-1]) + LAST)), "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
-        if not text.isascii() and self.unknown(text):
+        if not text.isascii() and (self.unknown if self.beyond(text) else self.basic_unknown)(text):
             from tokenizers.normalizers import NFC, Lowercase
 
             text = Lowercase().normalize_str(NFC().normalize_str(text))
@@ -263,6 +271,8 @@ def _encode(shared):
 
         for batch in it:
             yield from batches((one(*row) for row in zip(batch.column(0).to_pylist(), as_text(batch.column(1)), strict=True)), schema, 1024)
+        bpe.forget()
+        give_back()
 
     return run
 

@@ -103,7 +103,7 @@ def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered; forgets all at a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -114,6 +114,17 @@ class WordHashes(dict):
         return h
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows, so that output memory is bounded."""
     held: list[tuple] = []
@@ -124,6 +135,8 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Itera
             held = []
     if held:
         yield to_batch(held, schema)
+    del held
+    give_back()
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

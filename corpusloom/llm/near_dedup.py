@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, as_bytes, batches, broadcast_if_few, dealt_join, heavy, materialize, mix64, seeded64, two
+from corpusloom.llm.common import WordHashes, as_bytes, batches, broadcast_if_few, dealt_join, give_back, heavy, materialize, mix64, seeded64, two
 from corpusloom.llm.graph import Forest, components
 
 SHINGLE = 5
@@ -322,6 +322,7 @@ def _flag(percent: int):
                         hit[y] = True
             keep = pa.array(hit)
             yield from pa.Table.from_arrays([table.column(k).filter(keep) for k in schema.names], schema=schema).to_batches()
+        give_back()
 
     return run
 
@@ -362,6 +363,7 @@ def _link(percent: int):
             sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
             found = [link for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for link in meet(rows, lo, hi, sets)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], schema=schema)
+        give_back()
 
     return run
 
