@@ -193,9 +193,9 @@ _PRIME = 0x01000193
 _LANE_SEEDS = (0x811C9DC5, 0x01000193 ^ 0x5BD1E995)
 
 
-def content_hash(text: Column) -> Column:
-    """Sixteen hex digits of two 32-bit FNV-1a lanes over characters (H-01)."""
-    codes = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint")))
+def content_hash(text: Column, empty: tuple[int, ...] = ()) -> Column:
+    """Sixteen hex digits of two 32-bit FNV-1a lanes over characters (H-01); null for null.  ``empty``: what an empty text counts as."""
+    codes = F.when(text == "", F.array(*[F.lit(c) for c in empty]).cast("array<bigint>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint")))
     mask = F.lit(_MASK).cast("bigint")
 
     def step(h: Column, c: Column) -> Column:

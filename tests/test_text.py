@@ -49,6 +49,20 @@ def test_tokens_stems_names(spark):
     assert row.h == "1a47e90b9a8086f6" and row.w.target == "a" and row.w.alias == "c" and row.w.embed and row.n
 
 
+def test_content_hash_of_no_text(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import catalogue_text
+
+    rows = [(1, None), (2, ""), (3, "abc"), (4, "\x00é𝄞e\u0301\r\n"), (5, "\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, catalogue_text.content_hash(spark, str(tmp_path)).collect()))
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(base.sql(catalogue_text.ORACLES["content_hash"]).fetchall())
+    assert got[0] == (1, "811c9dc55ad1e806") and got[1] != got[0]
+
+
 def test_title_phrases(spark):
     found = spark.range(1).select(T.title_phrases(F.lit("Apache Kafka the_streams")).alias("p")).first().p
     assert [(p.key, p.is_pair, p.at_start) for p in found] == [("apache", False, True), ("apache kafka", True, True), ("kafka", False, False), ("stream", False, False)]
