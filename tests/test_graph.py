@@ -35,6 +35,45 @@ def test_neighbours_are_exact_beyond_a_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, vectors.knn(rows, 10).select("src", "rank", "dst").collect())) == want
 
 
+def test_neighbours_with_many_copies(spark, monkeypatch):
+    import numpy as np
+
+    m = np.random.default_rng(3).integers(-3, 4, (900, 6)).astype(float)
+    m[100:400] = m[0]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, vector array<double>").repartition(5)
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 1 << 14)
+    scores = m @ m.T
+    np.fill_diagonal(scores, -np.inf)
+    want = {(a, r + 1, int(b)) for a in range(900) for r, b in enumerate(np.lexsort((np.arange(900), -scores[a]))[:7])}
+    assert {(r.src, r.rank, r.dst) for r in vectors.knn(rows, 7).collect()} == want
+    assert {(r.src, r.rank, r.dst) for r in vectors.knn_blocks(rows, rows, 7, 2).collect()} == want
+
+
+def test_scores_of_a_large_group_stay_small():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    table = lambda n: pa.table({"id": pa.array(range(n)), "vector": pa.array(np.random.default_rng(n).random((n, 4)).tolist(), pa.list_(pa.float64()))})
+    asked, held = table(1024), table(40_000)
+    tracemalloc.start()
+    assert vectors._scored(5)(asked, held).num_rows == 1024 * 5
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # all scores at once are 328 MB, twice that to partition them
+
+
+def test_blocks_grow_in_number_not_in_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = cluster.synthetic_vectors(spark, 1500, 16, centres=1500).cache()
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 1 << 16)
+    monkeypatch.setattr(vectors, "_scored", lambda k: lambda q, m: pa.table({"src": pa.array([q.num_rows], pa.int64()), "dst": pa.array([m.num_rows], pa.int64()), "score": pa.array([1.0])}))
+    seen = vectors.knn_blocks(rows.where("id % 50 = 0"), rows, 15, 3).collect()
+    assert max(r.dst for r in seen) < 300  # 3 groups have 500 each
+
+
 def test_quantiles_and_ranks(spark):
     rows = spark.createDataFrame([(float(x % 50),) for x in range(500)], "v double")
     ordered = sorted(x % 50 for x in range(500))
