@@ -9,7 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import evaluate, keywords, review, templates, vectors
 from corpusloom.plans.catalogue_flow import _EFFECTIVE, DECISIONS, _proposals
 from corpusloom.plans.catalogue_graph import _CELLS, _CENTRES, _V, _knn, _neighbours, _nmi, _vectors
-from corpusloom.plans.catalogue_text import _BODIES, _LINES, _NOTES, _TAGGED, _TF, _TOKENS, _notes
+from corpusloom.plans.catalogue_text import _BODIES, _LINES, _NOTES, _TAGGED, _TF, _TOKENS, _notes, terms_by_lang
 from corpusloom.sources.notes import resolve_links as resolve
 from corpusloom.sources.notes import table
 from corpusloom.streaming import incremental, progress
@@ -110,9 +110,7 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contrast_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    tf = keywords.term_frequencies(keywords.tokens(_notes(spark, sf_dir)))
-    groups = docs.select(F.col("doc_id").cast("string").alias("note_id"), F.col("lang").alias("group"))
+    tf, groups = terms_by_lang(_notes(spark, sf_dir))
     return keywords.contrast_keywords(tf, groups).select("group", F.col("rank").cast("long").alias("rank"), "stem", F.round("score", 9).alias("score"))
 
 

@@ -63,6 +63,33 @@ def test_content_hash_of_no_text(spark, tmp_path):
     assert got[0] == (1, "811c9dc55ad1e806") and got[1] != got[0]
 
 
+def test_terms_are_counted_without_a_shuffle(spark, tmp_path):
+    from corpusloom.operators import keywords
+
+    texts = [("1", "Kafka streams kafka planning planned", "en"), ("2", None, "en"), ("3", "", None), ("4", "the the", "de"), ("5", "kafka Планирование планируем", "de"), ("6", "streams planning", "en")]
+    n = spark.createDataFrame([(i, t, [g]) for i, t, g in texts], "id string, content string, tags array<string>")
+    want = keywords.term_frequencies(keywords.tokens(n))
+    got = keywords.note_terms(n, group=F.get("tags", F.lit(0)))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.note_id, r.stem, r.tf) for r in got.collect()) == sorted((r.note_id, r.stem, r.tf) for r in want.collect())
+    assert {r.note_id: r.length for r in got.collect()} == {"1": 5, "5": 3, "6": 2}
+    groups = n.select(F.col("id").alias("note_id"), F.get("tags", F.lit(0)).alias("group"))
+    for f in (lambda tf: keywords.note_keywords(tf.drop("group"), 6), lambda tf: keywords.group_keywords(tf, groups, 6), lambda tf: keywords.contrast_keywords(tf, groups)):
+        assert sorted(map(tuple, f(got).collect())) == sorted(map(tuple, f(want).collect()))
+    assert keywords.one_row_each(n) and not keywords.one_row_each(n.union(n))
+
+
+def test_frequent_stems_meet_a_broadcast(spark, monkeypatch):
+    from corpusloom.operators import keywords
+
+    notes = spark.range(60).select(F.col("id").cast("string").alias("id"), F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("mod"), F.col("id") % 3), F.concat(F.lit("few"), F.expr("id div 2")), F.concat(F.lit("one"), F.col("id"))).alias("content"))
+    tf, found = keywords.note_terms(notes), []
+    for share in (0.0, 0.1, 2.0):  # all frequent, some, none
+        monkeypatch.setattr(keywords, "OFTEN", share)
+        found.append(sorted(map(tuple, keywords.note_keywords(tf, 60).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 120
+
+
 def test_title_phrases(spark):
     found = spark.range(1).select(T.title_phrases(F.lit("Apache Kafka the_streams")).alias("p")).first().p
     assert [(p.key, p.is_pair, p.at_start) for p in found] == [("apache", False, True), ("apache kafka", True, True), ("kafka", False, False), ("stream", False, False)]
