@@ -215,3 +215,17 @@ def test_scratch_tables_have_owners(spark):
     assert other.count() == 4
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_analysis_leaves_no_passing_tables(spark):
+    from corpusloom.plans import analysis
+    from corpusloom.sources import scratch
+
+    words = "kafka stream broker topic offset", "bread flour yeast oven dough"
+    rows = [(str(k), f"a/{k}.md", f"Note {k}", f"Note {k}\n" + f"{words[k % 2]} {chr(97 + k) * 5} text " * 12, ["en"]) for k in range(12)]
+    before = {p for paths in scratch._TABLES.values() for p in paths}
+    out = analysis.group_notes(spark.createDataFrame(rows, "id string, path string, title string, content string, tags array<string>"))
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for paths in scratch._TABLES.values() for p in paths if p not in before]
+    assert not {"lines", "chunks", "hashes", "tokens"} & set(left), left
+    assert left.count("chunk-vectors") == 1
+    assert out.communities.count() == out.neighbours.select("src").distinct().count() == 12
