@@ -229,3 +229,15 @@ def test_analysis_leaves_no_passing_tables(spark):
     assert not {"lines", "chunks", "hashes", "tokens"} & set(left), left
     assert left.count("chunk-vectors") == 1
     assert out.communities.count() == out.neighbours.select("src").distinct().count() == 12
+
+
+def test_chunks_of_few_notes_are_held_at_once(spark, monkeypatch):
+    from corpusloom.operators import chunks
+
+    n = spark.range(300).coalesce(1).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("T\n"), F.repeat(F.lit("some words. "), 150)).alias("content"), F.lit("T").alias("title"))
+    seen = []
+    monkeypatch.setattr(type(n), "mapInArrow", lambda self, run, schema: seen.append((self, run)) or self)
+    chunks.chunks(n, spark.createDataFrame([], "norm string"))
+    rows, run = seen[0]
+    found = list(run(iter(rows.toArrow().combine_chunks().to_batches())))
+    assert len(found) == 3 and len({i for b in found for i in b.column(0).to_pylist()}) == 300
