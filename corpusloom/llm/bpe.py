@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import as_text, batches, give_back, two
+from corpusloom.llm.common import as_text, batches, give_back, slices, two
 
 #: In a word's internal form each byte is one character; the last one, which carries the word end, is shifted by this.
 LAST = 0x100
@@ -269,7 +269,7 @@ def _encode(shared):
             ids, said = bpe.encode(text)
             return i, len(ids) // 4, ids, said
 
-        for batch in it:
+        for batch in slices(it):
             yield from batches((one(*row) for row in zip(batch.column(0).to_pylist(), as_text(batch.column(1)), strict=True)), schema, 1024)
         bpe.forget()
         give_back()

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.sources.notes import spread
-from corpusloom.sources.scratch import delete, materialize, new_path, owned, release, scratch_root
+from corpusloom.sources.scratch import bound_batches, delete, materialize, new_path, owned, release, scratch_root
 
-__all__ = ["delete", "materialize", "new_path", "owned", "release", "scratch_root"]
+__all__ = ["bound_batches", "delete", "materialize", "new_path", "owned", "release", "scratch_root"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,13 @@ def give_back() -> None:
         pass
 
 
+def slices(it: Iterable[pa.RecordBatch], size: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``size`` rows: what is made of a batch is held for a slice alone."""
+    for batch in it:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows, so that output memory is bounded."""
     held: list[tuple] = []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, batches, materialize, two
+from corpusloom.llm.common import as_bytes, batches, materialize, slices, two
 
 #: Bytes that separate words become blanks, A-Z become a-z.
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -270,7 +270,7 @@ def _spans(marked: list[np.ndarray]) -> list[int]:
 def _scan(shared: list, limit: int, schema: pa.Schema = RESULT):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[Block] = [b.value for b in shared]
-        for batch in it:
+        for batch in slices(it):
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             counts, marks, passages = [0] * len(ids), {}, {}
             for parts, words in _shards(texts, limit):
@@ -361,7 +361,7 @@ def filter_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 
     def clean(scan):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
+            for batch in slices(it):
                 places = pa.array(range(batch.num_rows), pa.int64())
                 kept = [n for found in scan(iter([pa.RecordBatch.from_arrays([places, batch.column(at)], ["_id", "_text"])])) for n, hit in zip(found.column(0).to_pylist(), found.column(2).to_pylist(), strict=True) if not hit]
                 yield batch.take(pa.array(kept, pa.int64()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches, mix64
+from corpusloom.llm.common import batches, give_back, mix64, slices
 
 UNKNOWN = "und"
 DIMS = 1 << 13
@@ -197,11 +197,10 @@ def _apply(shared):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in it:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = predict(model, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[n] for f in found], schema.field(n + 1).type) for n in range(3))], schema=schema)
+        for part in slices(it):
+            found = predict(model, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[n] for f in found], schema.field(n + 1).type) for n in range(3))], schema=schema)
+        give_back()
 
     return run
 
@@ -219,9 +218,8 @@ def filter_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     at = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                yield part.filter(pa.array([not r for _, _, r in predict(shared.value, part.column(at).to_pylist())], pa.bool_()))
+        for part in slices(it):
+            yield part.filter(pa.array([not r for _, _, r in predict(shared.value, part.column(at).to_pylist())], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

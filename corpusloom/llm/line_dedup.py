@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, batches, dealt_join, fresh, heavy, materialize, two
+from corpusloom.llm.common import as_bytes, batches, dealt_join, fresh, give_back, heavy, materialize, slices, two
 
 #: Bits of a filter that travel together, as a power of two.
 SEGMENT = 16
@@ -210,15 +210,14 @@ def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                columns, texts = part.columns[:-1], part.column(at).to_pylist()
-                kept = [cut_text(t.encode(), d, min_chars)[1] if d else t for t, d in zip(texts, part.column(part.num_columns - 1).to_pylist(), strict=True)]
-                columns[at] = pa.array(kept, columns[at].type)
-                if chars is not None:
-                    was = columns[chars].to_pylist()
-                    columns[chars] = pa.array([w if k is t else len(k) for w, k, t in zip(was, kept, texts, strict=True)], columns[chars].type)
-                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+        for part in slices(it):
+            columns, texts = part.columns[:-1], part.column(at).to_pylist()
+            kept = [cut_text(t.encode(), d, min_chars)[1] if d else t for t, d in zip(texts, part.column(part.num_columns - 1).to_pylist(), strict=True)]
+            columns[at] = pa.array(kept, columns[at].type)
+            if chars is not None:
+                was = columns[chars].to_pylist()
+                columns[chars] = pa.array([w if k is t else len(k) for w, k, t in zip(was, kept, texts, strict=True)], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+        give_back()
 
     return joined.select(*docs.columns, drops_col).mapInArrow(run, docs.schema)

@@ -7,11 +7,14 @@ import re
 import wave
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as S
 
 from corpusloom.llm import bpe, decontaminate, hilbert_shards, language_id, line_dedup, lm_score, media, near_dedup, pii, warc
+from corpusloom.llm.common import bound_batches
 
 DOCS = S.StructType([S.StructField("doc_id", S.LongType()), S.StructField("text", S.StringType()), S.StructField("lang", S.StringType()), S.StructField("source", S.StringType()), S.StructField("n_chars", S.LongType()), S.StructField("_id", S.StringType()), S.StructField("kept", S.StringType()), S.StructField("n", S.StringType())])
 
@@ -736,3 +739,29 @@ def test_pipeline_stages_keep_the_schema(spark, tmp_path):
         assert name == "bpe" or docs.columns == plain.names
     assert 30 not in seen["language_id"] and 31 not in seen["near_dedup"] and 0 in seen["near_dedup"] and 32 not in seen["decontaminate"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen["bpe"] == set(range(30))
+
+
+def test_steps_hold_slices_of_a_batch(monkeypatch):
+    """However large an Arrow batch, contamination is searched in, and decoded text made of, at most 1,024 rows at once."""
+    sizes, shards = [], decontaminate._shards
+    monkeypatch.setattr(decontaminate, "_shards", lambda texts, limit: sizes.append(len(texts)) or shards(texts, limit))
+    block = SimpleNamespace(value=decontaminate.make_blocks([("a", b" ".join(b"w%d" % n for n in range(12)))], 10)[0])
+    texts = [" ".join(f"w{n}" for n in range(12)) if k % 1000 == 0 else f"other {k}" for k in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500), pa.int64()), pa.array(texts)], ["_id", "_text"])
+    out = [r for b in decontaminate._scan([block], 1_000_000)(iter([batch])) for r in b.to_pylist()]
+    assert [r["_id"] for r in out] == list(range(2500)) and [r["_id"] for r in out if r["n_hit"]] == [0, 1000, 2000]
+    assert sizes == [1024, 1024, 452]
+
+
+def test_stages_bound_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        bound_batches(spark)
+        assert spark.conf.get(key) == "4m"
+        spark.conf.set(key, "1m")  # a session's own bound stays
+        bound_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
